@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat, language, media, packing, quality, records, token_count
+from tabloom.llm import bpe, chat, language, media, neardup, packing, quality, records, token_count
 from tabloom.llm.common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -47,12 +47,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), bpe.vocabulary_path(WORD_VOCABULARY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_format, op3_bpe_round_trip, op4_pack, op5_records, op6_media, op7_quality, op8_language, op10_token_counts]
+    found = [op1_chat_format, op3_bpe_round_trip, op4_pack, op5_records, op6_media, op7_quality, op8_language, op9_near_duplicates, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
