@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat, language, media, neardup, packing, quality, records, token_count
+from tabloom.llm import bpe, chat, dedup, language, media, neardup, packing, quality, records, token_count
 from tabloom.llm.common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -18,6 +18,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.vocabulary_path(BYTE_VOCABULARY))
 
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_format, op3_bpe_round_trip, op4_pack, op5_records, op6_media, op7_quality, op8_language, op9_near_duplicates, op10_token_counts]
+    found = [op1_chat_format, op2_suffix_dedup, op3_bpe_round_trip, op4_pack, op5_records, op6_media, op7_quality, op8_language, op9_near_duplicates, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
