@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
@@ -56,28 +56,77 @@ def pieces(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Marked words of at most MAX_WORD letters."""
-    out = []
-    for word in LETTERS.findall(text.lower()):
-        if len(word) <= MAX_WORD:
-            out.append(MARK + word)
-        else:
-            out += [MARK + word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
-    return out
+    """Lower-cased words of at most MAX_WORD letters."""
+    words = LETTERS.findall(text.lower())
+    if max(map(len, words), default=0) > MAX_WORD:
+        words = [word[i : i + MAX_WORD] for word in words for i in range(0, len(word), MAX_WORD)]
+    return words
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+FIRST_BITS, SECOND_BITS = 20, 20
+
+
+class PieceTable:
+    """Finds pieces by the polynomial hash of their characters, for many at once: a slot by the hash's upper bits, for
+    pieces whose slot is taken a second one by its lower bits; a hit must have the whole hash."""
+
+    def __init__(self, path: str):
+        known = pieces(path)
+        self.most = max(map(len, known), default=1)
+        self.hashes = np.zeros(len(known) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for text, i in known.items():
+                h = np.uint64(0)
+                for c in text:
+                    h = h * STEP + np.uint64(ord(c))
+                self.hashes[i] = h
+        if len(set(self.hashes.tolist())) != len(known) + 1:
+            raise ValueError("two pieces have one hash")
+        self.first, self.second = np.zeros(1 << FIRST_BITS, np.int32), np.zeros(1 << SECOND_BITS, np.int32)
+        for i in range(1, len(self.hashes)):
+            one, two = (slot[0] for slot in self._slots(self.hashes[i : i + 1]))
+            if not self.first[one]:
+                self.first[one] = i
+            elif not self.second[two]:
+                self.second[two] = i
+            else:
+                raise ValueError("a piece has no free slot")
+
+    @staticmethod
+    def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+        return mixed >> np.uint64(64 - FIRST_BITS), mixed >> np.uint64(8) & np.uint64((1 << SECOND_BITS) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces' numbers, -1 for none."""
+        one, two = self._slots(h)
+        a, b = self.first[one], self.second[two]
+        return np.where((self.hashes[a] == h) & (a > 0), a, np.where((self.hashes[b] == h) & (b > 0), b, -1))
 
 
 @lru_cache(maxsize=2)
-def longest(path: str) -> int:
-    return max(map(len, pieces(path)), default=1)
-
-
-def lattice(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """For words of one length n: numbers (word, end, piece length) of the pieces that end there, -1 for none; n."""
-    get, most = pieces(path).get, longest(path)
-    n = len(words[0])
-    grid = [[get(w[end - size : end], -1) if size > 1 or end > n else get(w[end - 1], 0) for end in range(1, n + 1) for size in range(1, min(end, most) + 1)] for w in words]
-    ends = np.array([(end, size) for end in range(1, n + 1) for size in range(1, min(end, most) + 1)])
-    return np.array(grid, np.int32).reshape(len(words), -1), ends
+def piece_table(path: str) -> PieceTable:
+    return PieceTable(path)
+
+
+def lattice(words: list[str], path: str) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For words of one length, with the word mark before them: (end, size, words, pieces) wherever pieces fit, by end."""
+    table = piece_table(path)
+    n = len(words[0]) + 1
+    codes = np.array([MARK + w for w in words], f"U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+    found = []
+    for start in range(n):
+        h = np.zeros(len(words), np.uint64)
+        for size in range(1, min(n - start, table.most) + 1):
+            h = h * STEP + codes[:, start + size - 1]
+            piece = table.find(h)
+            if size == 1:
+                piece = np.maximum(piece, 0)
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                found.append((start + size, size, hit, piece[hit]))
+    return sorted(found, key=lambda x: x[:2])
 
 
 def by_length(words) -> Iterator[list[str]]:
@@ -94,21 +143,17 @@ def expected_counts(counts: dict[str, float], path: str) -> np.ndarray:
     total = np.zeros(len(pieces(path)) + 1)
     weight = 1.0 / max(1, len(pieces(path)))
     for group in by_length(counts):
-        grid, ends = lattice(group, path)
-        n, rows = len(group[0]), len(group)
-        there = np.where(grid >= 0, weight, 0.0)
+        steps = lattice(group, path)
+        n, rows = len(group[0]) + 1, len(group)
         forward, backward = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
         forward[0] = backward[n] = 1.0
-        for k, (end, size) in enumerate(ends):
-            forward[end] += forward[end - size] * there[:, k]
-        for k in range(len(ends) - 1, -1, -1):
-            end, size = ends[k]
-            backward[end - size] += backward[end] * there[:, k]
+        for end, size, hit, _ in steps:
+            forward[end, hit] += forward[end - size, hit] * weight
+        for end, size, hit, _ in reversed(steps):
+            backward[end - size, hit] += backward[end, hit] * weight
         scale = np.array([counts[w] for w in group]) / forward[n]
-        for k, (end, size) in enumerate(ends):
-            hit = grid[:, k] >= 0
-            if hit.any():
-                np.add.at(total, grid[hit, k], (forward[end - size] * there[:, k] * backward[end] * scale)[hit])
+        for end, size, hit, piece in steps:
+            total += np.bincount(piece, forward[end - size, hit] * backward[end, hit] * scale[hit] * weight, len(total))
     return total
 
 
@@ -119,21 +164,24 @@ class Model:
         self.path, self.languages = path, languages
         smooth = counts + SMOOTHING
         self.probability = smooth / smooth.sum(0) if languages else smooth
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, int] = {}  # word -> its row of scores
+        self.scores = np.zeros((1 << 12, len(languages)))
 
     def fill(self, words: set[str]) -> None:
+        """Scores words that the cache lacks: the logarithm of the sum over their segmentations, by language."""
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         for group in by_length(words - self.cache.keys()):
-            grid, ends = lattice(group, self.path)
-            n = len(group[0])
+            n = len(group[0]) + 1
             forward = np.zeros((n + 1, len(group), len(self.languages)))
             forward[0] = 1.0
-            for k, (end, size) in enumerate(ends):
-                hit = np.flatnonzero(grid[:, k] >= 0)
-                if len(hit):
-                    forward[end, hit] += forward[end - size, hit] * self.probability[grid[hit, k]]
-            self.cache.update(zip(group, np.log(forward[n])))
+            for end, size, hit, piece in lattice(group, self.path):
+                forward[end, hit] += forward[end - size, hit] * self.probability[piece]
+            at = len(self.cache)
+            while at + len(group) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[at : at + len(group)] = np.log(forward[n])
+            self.cache.update(zip(group, range(at, at + len(group))))
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         for at in range(0, len(texts), 500):
@@ -147,7 +195,7 @@ class Model:
                 if not words:
                     yield "und", 0.0
                     continue
-                mean = np.array(list(map(get, words))).mean(0)
+                mean = self.scores[np.fromiter(map(get, words), np.int64, len(words))].mean(0)
                 best = int(np.argmax(mean))
                 yield self.languages[best], float(1 / np.exp((mean - mean[best]) * min(len(words), SHARP)).sum())
 
@@ -188,11 +236,11 @@ def train(rows: DataFrame, path: str) -> Model:
     return Model(path, languages, counts)
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns named by ``keep``, lang_pred and score of every row; only the text is read for them."""
+def predict(docs: DataFrame, model: Model, *keep: Column | str) -> DataFrame:
+    """The columns ``keep``, lang_pred and score of every row; only the text is read for them."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.path, model.languages, model.probability.astype(np.float32)))
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(c) for c in keep])
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     fields = rows.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +254,15 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     return rows.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of docs, with all their columns, in a learned language with a score of ``least`` or more; all rows where
+    nothing was learned."""
+    if not model.languages:
+        return docs
+    found = predict(docs, model, F.struct("*").alias("__row"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+
+
 _scorers: dict = {}
 
 

@@ -48,7 +48,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(~language.held_out()), bpe.vocabulary_path(PIECE_VOCABULARY))
-    found = language.predict(docs, model, keep=("doc_id",))
+    found = language.predict(docs, model, "doc_id")
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
