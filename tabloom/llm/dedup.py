@@ -278,16 +278,16 @@ def sort_blocks(found: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with doc and sub, which order documents; sub is 0 unless some doc_id isn't unique."""
+    """docs with doc and sub (in the place of columns of these names), which order documents; sub is 0 unless some doc_id isn't unique."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     twice = not docs.groupBy(key.alias("doc")).count().where("count > 1").isEmpty()
     sub: Column = F.xxhash64(F.col("text").cast("string")) if twice else F.lit(0).cast("long")
     return docs.withColumn("doc", key).withColumn("sub", sub)
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, sub, spans array<struct<lo, n>>) of documents with removed windows, and the keys and texts of all rows."""
-    rows = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "sub", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def removals(docs: DataFrame, *keep: Column | str) -> tuple[DataFrame, DataFrame]:
+    """(doc, sub, spans array<struct<lo, n>>) of documents with removed windows; (doc, sub, text, what to keep) of all rows."""
+    rows = keyed(docs).select("doc", "sub", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     once = rows.select("doc", "sub", "text")
     settled = written(settle_runs(find_runs(once)), "runs")
     sorted_out = written(sort_blocks(candidates(settled, once.dropDuplicates(["doc", "sub"]) if _repeats(rows) else once)), "windows")
@@ -319,7 +319,7 @@ def kept_parts(data: bytes, spans: list[dict] | None) -> tuple[list[bytes], int,
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
-    spans, rows = removals(docs)
+    spans, rows = removals(docs.select("doc_id", "text"), "doc_id")
     joined = rows.join(spans, ["doc", "sub"], "left").select("doc_id", "text", "spans")
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -337,3 +337,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return joined.mapInArrow(run, schema)
+
+
+def rewrite(docs: DataFrame) -> DataFrame:
+    """docs without repeated passages: texts hold the bytes kept, less the parts of characters that a cut left over;
+    documents of which nothing is left go; an n_chars column is counted anew; all other columns stay."""
+    packed = docs.select("doc_id", "text", F.struct("*").alias("__row"))
+    spans, rows = removals(packed, "__row")
+    joined = rows.join(spans, ["doc", "sub"], "left").select("text", "spans", "__row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None] * batch.num_rows
+            for i, (text, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if found:
+                    texts[i] = b"".join(kept_parts(text.encode(), found)[0]).decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string())], ["__row", "__kept"])
+
+    made = joined.mapInArrow(run, f"__row {rows.schema['__row'].dataType.simpleString()}, __kept string")
+    new = F.col("__kept").isNotNull()
+    out = []
+    for name in docs.columns:
+        old = F.col("__row").getField(name)
+        if name == "text":
+            old = F.when(new, F.col("__kept")).otherwise(old)
+        elif name == "n_chars":
+            old = F.when(new, F.char_length("__kept")).otherwise(old).cast(docs.schema[name].dataType)
+        out.append(old.alias(name))
+    return made.where("__kept IS NULL OR __kept <> ''").select(out)

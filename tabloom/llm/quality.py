@@ -92,9 +92,9 @@ def fail_mask(rules: tuple[Rule, ...] = RULES) -> Column:
     return total.cast("long")
 
 
-def ledger(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named by ``keep`` untouched, MEASURES and fail_mask."""
-    rows = docs.select(F.col("text").cast("string").alias("__text"), F.col("doc_id"), *[F.col(c) for c in keep])
+def measured(docs: DataFrame, *keep: Column | str) -> DataFrame:
+    """The columns ``keep`` untouched, MEASURES and fail_mask of every row."""
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     fields = rows.schema.fields[1:]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{m} long" for m in MEASURES])
 
@@ -108,6 +108,16 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.mapInArrow(run, schema).withColumn("fail_mask", fail_mask())
 
 
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, MEASURES and fail_mask of every row."""
+    return measured(docs, "doc_id")
+
+
+def keep_passing(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of docs, with all their columns, that a policy keeps."""
+    return measured(docs, F.struct("*").alias("__row")).where(passes(policy)).select("__row.*")
+
+
 def passes(policy: str) -> Column:
     return F.col("fail_mask").bitwiseAND(F.lit(mask_of(policy)).cast("long")) == 0
 

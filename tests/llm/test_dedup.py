@@ -82,3 +82,17 @@ def test_null_and_repeated_ids(spark):
     assert by_id[0] == (-1, 300, 0) and by_id[1:3] == [(5, 300, 300)] * 2
     seven = {(n, gone) for i, n, gone in by_id[3:]}
     assert seven in ({(300, 0), (450, 450)}, {(300, 300), (450, 150)})
+
+
+def test_rewrite_keeps_columns(spark):
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choices("abcdefgh éü", k=n))
+    part = prose(300)
+    rows = [(1, part), (2, prose(50) + part + prose(50)), (3, part), (4, None), (5, "")]
+    docs = frame(spark, rows).selectExpr("*", "1 AS __kept", "2 AS spans", "3 AS sub")
+    got = dedup.rewrite(docs)
+    assert got.columns == docs.columns
+    expect = {i: k[4].decode("utf-8", "ignore") for i, k in plain(rows).items()}
+    for r in got.collect():
+        assert (r.text or "") == expect[r.doc_id] and r.n_chars == len(expect[r.doc_id])
+    assert {r.doc_id for r in got.collect()} == {1, 2, 4, 5}

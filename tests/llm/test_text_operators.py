@@ -204,7 +204,7 @@ def slow_measures(text):
 
 
 def test_quality(spark, docs, texts):
-    rows = {r.doc_id: r for r in quality.apply_policy(quality.ledger(docs, keep=("n_chars",)), "v2").collect()}
+    rows = {r.doc_id: r for r in quality.apply_policy(quality.ledger(docs), "v2").collect()}
     assert rows.keys() == texts.keys()
     for doc_id, r in rows.items():
         m = slow_measures(texts[doc_id])
@@ -213,6 +213,9 @@ def test_quality(spark, docs, texts):
         assert bool(r.fail_mask & quality.mask_of("base")) == base and r.kept == (r.fail_mask & quality.mask_of("v2") == 0)
         assert not (base and r.kept)
     assert quality.ledger(empty(spark)).count() == 0
+    clash = docs.selectExpr("*", "'x' AS n_words", "1 AS fail_mask", "2 AS __text")
+    kept = quality.keep_passing(clash, "v2")
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
 
 
 def test_quality_ablation(docs):
@@ -242,8 +245,8 @@ def test_language_forward_sums_all_segmentations():
             out += model.probability[i, column] * total(end, column) if i is not None else 0
         return out
 
-    model.fill({word})
-    assert np.allclose(model.cache[word], np.log([total(0, 0), total(0, 1)]))
+    model.fill({word[1:]})
+    assert np.allclose(model.scores[model.cache[word[1:]]], np.log([total(0, 0), total(0, 1)]))
 
 
 def test_language(spark, sf_dir):
@@ -261,6 +264,10 @@ def test_language_edges(spark, docs):
     assert {(r.lang_pred, r.score) for r in language.predict(docs, none).collect()} == {("und", 0.0)}
     model = language.train(docs, path)
     odd = spark.createDataFrame([(1, None, None, "", 0), (2, "123 !?", None, "", 0), (3, "", None, "", 0), (4, "x" * 5000, None, "", 0)], DOC)
-    found = {r.doc_id: r for r in language.predict(odd, model, keep=("doc_id", "lang")).collect()}
+    found = {r.doc_id: r for r in language.predict(odd, model, "doc_id", "lang").collect()}
     assert [found[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and found[4].lang_pred in model.languages
     assert language.predict(empty(spark), model).count() == 0
+    clash = odd.selectExpr("*", "'x' AS lang_pred", "1 AS score")
+    kept = language.keep_known(clash, model)
+    assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [4]
+    assert language.keep_known(clash, none).count() == 4
