@@ -35,9 +35,9 @@ LONG_WORD = 256
 #: A worker's cache of words is emptied beyond this many entries; words over CACHED_CHARS never enter it.
 CACHE_WORDS = 600_000
 CACHED_CHARS = 48
-#: Texts are encoded by the library in groups of so many characters.
-GROUP_CHARS = 1 << 21
 NO_RANK = 1 << 60
+#: The public pattern in a form that never steps back far, for texts of any length.
+WORDS_AT_ONCE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def vocabulary_path(name: str) -> str:
@@ -101,19 +101,28 @@ class BpeModel:
             text = text.replace("Σ", "σ").lower()
         return text
 
-    def stretches(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
-        """(special string or None, words): the text in order."""
+    def parts(self, text: str) -> Iterator[tuple[str | None, str]]:
+        """(special string or None, normalised text): the text in order."""
         for i, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
             if i % 2:
-                yield part, []
+                yield part, ""
             elif part:
-                yield None, self.words.findall(self.normalise(part))
+                yield None, self.normalise(part)
+
+    def stretches(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
+        """(special string or None, words): the text in order."""
+        for mark, part in self.parts(text):
+            yield mark, self.words.findall(part)
 
     def merge(self, word: str) -> list[str]:
         """The word's pieces, as the vocabulary writes them."""
-        text = word.encode().decode("latin-1").translate(self.table)
-        ends = [*range(len(text)), len(text) + len(self.suffix)]
-        text += self.suffix
+        return self.merge_symbols(word.encode().decode("latin-1").translate(self.table))
+
+    def merge_symbols(self, text: str, ended: bool = True) -> list[str]:
+        """The same of a word (or, unless ``ended``, of a part before its end) written with a character a byte."""
+        suffix = self.suffix if ended else ""
+        ends = [*range(len(text)), len(text) + len(suffix)]
+        text += suffix
         if len(ends) > LONG_WORD:
             return self._merge_long([text[a:b] for a, b in zip(ends, ends[1:])])
         rank = self.ranks.get
@@ -170,18 +179,23 @@ def load(path: str) -> BpeModel:
 
 
 class WordCache(dict):
-    """word -> what ``make`` gives for it, kept for a bounded number of short words."""
+    """word -> what ``make`` gives for it, kept for a bounded number of short words: when one generation is full, the
+    next begins, and words used again move on to it."""
 
     def __init__(self, make: Callable[[str], object]):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
+
+    def keep(self, word: str, made: object) -> None:
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = made
 
     def __missing__(self, word: str):
-        made = self.make(word)
+        made = self.older[word] if word in self.older else self.make(word)
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = made
+            self.keep(word, made)
         return made
 
 
@@ -192,54 +206,65 @@ def merged_words(path: str, pack: Callable[[BpeModel, list[int]], object]) -> Wo
     return WordCache(lambda word: pack(model, model.ids(word)))
 
 
-class LibraryWords(dict):
-    """word -> its ids as little-endian bytes, found by the ``tokenizers`` library; it outlives a task."""
+class RankWords:
+    """Texts' ids as little-endian bytes, by ``tiktoken`` from the file's own vocabulary and merges.
+
+    ``tiktoken`` joins any neighbours whose bytes stand in its table, the file's rules only its pairs.  Both come to
+    the same where the table holds just the strings that the rules, applied to such a string alone, make one piece: what
+    happens inside a string doesn't depend on its surroundings, so a string that isn't one piece alone never becomes
+    one.  That is settled here by merging every vocabulary string (:meth:`BpeModel.merge`).  Where words have an end
+    mark, a space stands for it (words have none) and joins the last byte before all else, as in the file."""
 
     def __init__(self, path: str, width: int):
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        super().__init__()
         self.model, self.kind = load(path), {2: "<u2", 4: "<u4"}[width]
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def fill(self, words: set[str]) -> list[str]:
-        """Adds words that are missing; gives those that are too long to stay."""
-        new = [w for w in words if w not in self]
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self[word] = np.array(found.ids, self.kind).tobytes()
-        return [w for w in new if len(w) > CACHED_CHARS]
+        model, back = self.model, {c: b for b, c in self.model.table.items()}
+        self.marked = bool(model.suffix)
+        ranks: dict[bytes, int] = {}
+        ids: dict[int, int] = {}
+
+        def add(text: str, rank: int) -> None:
+            bare = text.removesuffix(model.suffix) if self.marked else text
+            ranks[bytes(back[c] for c in bare) + b" " * (bare != text)] = rank
+            ids[rank] = model.vocab[text]
+
+        for b, c in model.table.items():
+            add(c, b)
+            if self.marked:
+                add(c + model.suffix, 256 + b)
+        for (left, right), rank in model.ranks.items():
+            ended = self.marked and right.endswith(model.suffix)
+            bare = (left + right).removesuffix(model.suffix) if ended else left + right
+            if len(model.merge_symbols(bare, ended)) == 1:
+                add(left + right, 512 + rank)
+        self.ids = np.zeros(max(ids) + 1, self.kind)
+        self.ids[list(ids)] = list(ids.values())
+        pattern = "[^ ]+ " if self.marked else WORDS_AT_ONCE
+        self.library = Encoding("table", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def special(self, i: int) -> bytes:
         return np.array([i], self.kind).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
-        group: list[list[tuple[str | None, list[str]]]] = []
-        held = 0
+        model = self.model
         for text in texts:
-            group.append([*self.model.stretches(text or "")])
-            held += len(text or "")
-            if held >= GROUP_CHARS:
-                yield from self._flush(group)
-                group, held = [], 0
-        yield from self._flush(group)
-
-    def _flush(self, group: list) -> Iterator[bytes]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        long = self.fill({w for cut in group for _, words in cut for w in words})
-        get = self.__getitem__
-        for cut in group:
-            yield b"".join([self.special(self.model.specials[mark]) if mark else b"".join(map(get, words)) for mark, words in cut])
-        for word in long:
-            del self[word]
+            out = []
+            for mark, part in model.parts(text or ""):
+                if mark:
+                    out.append(self.special(model.specials[mark]))
+                    continue
+                if self.marked:
+                    part = " ".join([*model.words.findall(part), ""])
+                found = self.library.encode_to_numpy(part, disallowed_special=())
+                out.append(self.ids[found].tobytes())
+            yield out[0] if len(out) == 1 else b"".join(out)
 
 
 @lru_cache(maxsize=4)
-def library_words(path: str, width: int) -> LibraryWords:
-    return LibraryWords(path, width)
+def rank_words(path: str, width: int) -> RankWords:
+    return RankWords(path, width)
 
 
 def id_width(path: str) -> int:

@@ -77,7 +77,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     """One row a piece (SCHEMA; with ``keep_ids`` also its ids as ``ids array<int>``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bpe.library_words(path, 4)
+        words = bpe.rank_words(path, 4)
         end = words.special(end_id)
         sequence = TaskContext.get().partitionId() << SPLIT_BITS
         keys: list = []

@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, out_dir: str, end_id: int = 1) -> list[dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, top = fs.FileSystem.from_uri(out_dir)
-        words = bpe.library_words(path, width)
+        words = bpe.rank_words(path, width)
         end = words.special(end_id)
         name = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         at, offsets, n_ids, group, held = 0, [], 0, [], 0
