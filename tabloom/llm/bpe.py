@@ -240,7 +240,7 @@ class RankWords:
                 add(left + right, 512 + rank)
         self.ids = np.zeros(max(ids) + 1, self.kind)
         self.ids[list(ids)] = list(ids.values())
-        pattern = "[^ ]+ " if self.marked else WORDS_AT_ONCE
+        pattern = "[^ ]++ " if self.marked else WORDS_AT_ONCE
         self.library = Encoding("table", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def special(self, i: int) -> bytes:
@@ -256,7 +256,7 @@ class RankWords:
                     out.append(self.special(model.specials[mark]))
                     continue
                 if self.marked:
-                    part = " ".join([*model.words.findall(part), ""])
+                    part = " ".join(model.words.findall(part)) + " "
                 found = self.library.encode_to_numpy(part, disallowed_special=())
                 out.append(self.ids[found].tobytes())
             yield out[0] if len(out) == 1 else b"".join(out)

@@ -57,20 +57,20 @@ def _compose(outer: list[int], inner: list[int]) -> list[int]:
 
 @lru_cache(maxsize=64)
 def _advance(level: int) -> np.ndarray:
-    """Tables (4 x 256) of the operator that advances a CRC state by 2^level words of zeros."""
+    """Tables (2 x 65,536, by the state's halves) of the operator that advances a CRC state by 2^level words of zeros."""
     op = [(1 << b) >> 1 ^ (CASTAGNOLI if b == 0 else 0) for b in range(32)]
     for _ in range(5 + level):
         op = _compose(op, op)
-    values = np.zeros((4, 256), np.uint32)
-    for byte in range(4):
-        for bit in range(8):
-            values[byte, (np.arange(256) >> bit & 1).astype(bool)] ^= np.uint32(op[8 * byte + bit])
+    values = np.zeros((2, 1 << 16), np.uint32)
+    for half in range(2):
+        for bit in range(16):
+            values[half, (np.arange(1 << 16) >> bit & 1).astype(bool)] ^= np.uint32(op[16 * half + bit])
     return values
 
 
 def _moved(x: np.ndarray, level: int) -> np.ndarray:
-    t = _advance(level)
-    return t[0][x & 255] ^ t[1][x >> 8 & 255] ^ t[2][x >> 16 & 255] ^ t[3][x >> 24]
+    low, high = _advance(level)
+    return low.take(x & np.uint32(0xFFFF)) ^ high.take(x >> np.uint32(16))
 
 
 def masked_crcs(blobs: list[bytes]) -> np.ndarray:
