@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.queries import profiles  # noqa: F401  each fills the registry
+from tabloom.queries import checks, models, profiles, rule_queries  # noqa: F401  each fills the registry
 from tabloom.queries.registry import QUERIES, SQL
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The published coefficients, from the highest power down.
@@ -98,3 +98,25 @@ def inside(p: Column) -> Column:
 
 def inside_sql(p: str) -> str:
     return f"least(greatest({p}, {EPSILON!r}::DOUBLE), {1 - EPSILON!r}::DOUBLE)"
+
+
+def quantiles(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with the quantile of each column (new name -> column of probabilities).  Powers are taken in steps, each from
+    columns, so no argument is written out many times over."""
+    at = {name: F.col(f"`{c}`") - 0.5 for name, c in columns.items()}
+    tail = {f"{name}__t": F.sqrt(-F.ln(F.least(F.col(f"`{c}`"), F.lit(1.0) - F.col(f"`{c}`")))) for name, c in columns.items()}
+    df = df.withColumns({f"{name}__q": q for name, q in at.items()} | tail)
+    out = {}
+    for name in columns:
+        q, t = F.col(f"`{name}__q`"), F.col(f"`{name}__t`")
+        r = F.lit(0.180625) - q * q
+        outer = F.when(t <= 5.0, horner(t - 1.6, C) / horner(t - 1.6, D)).otherwise(horner(t - 5.0, E) / horner(t - 5.0, G))
+        out[name] = F.when(F.abs(q) <= 0.425, q * horner(r, A) / horner(r, B)).when(q < 0, -outer).otherwise(outer)
+    return df.withColumns(out).drop(*[f"{name}__{x}" for name in columns for x in "qt"])
+
+
+def drawn(df: DataFrame, names: dict[str, str], seed: int, row: str) -> DataFrame:
+    """df with a seeded standard normal for each new column (new name -> name that decides the draw)."""
+    df = df.withColumns({f"{new}__u": uniform(seed, F.col(f"`{row}`"), name) for new, name in names.items()})
+    df = df.withColumns({f"{new}__u": inside(F.col(f"`{new}__u`")) for new in names})
+    return quantiles(df, {new: f"{new}__u" for new in names}).drop(*[f"{new}__u" for new in names])

@@ -53,7 +53,7 @@ def half_even(c: Column) -> Column:
 
 def clip(c: Column, low: float, high: float) -> Column:
     """Null stays null."""
-    return F.when(c < low, F.lit(float(low))).when(c > high, F.lit(float(high))).otherwise(c)
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def to_date(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalars import col, is_number, to_double
 from tabloom.operators.profile import Schema
 from tabloom.plans.ordering import numbered, running, spread
+from tabloom.session import checkpoint
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -105,7 +106,8 @@ def conform(df: DataFrame, real: DataFrame, schema: Schema, order: str) -> DataF
         if is_numeric(schema.types.get(c.name, "string")):
             out = out.withColumn(c.name, to_double(col(c.name)))
         else:
-            out = coerce_text(out, real, c.name, order, bool(c.mixed_value_kind))
+            done = coerce_text(out, real, c.name, order, bool(c.mixed_value_kind))
+            out = out if done is out else checkpoint(done)
     return out.select(order, *[col(c) for c in schema.order])
 
 

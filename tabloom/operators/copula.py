@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,14 @@ from tabloom.functions.scalars import MISSING, col, half_even, pick_interval, sn
 from tabloom.operators import mixed
 from tabloom.operators.profile import Schema
 from tabloom.plans.ordering import running
+from tabloom.session import checkpoint
 
 #: Fixed value: supports of more distinct numbers are not snapped to.
 SUPPORT = 32
 #: Points of a numeric marginal that are kept; a column of more distinct values keeps evenly spaced quantiles.
 KNOTS = 4096
+#: Marginals of at most so many points are written as expressions.
+INLINE = 64
 #: The least eigenvalue of a usable correlation matrix (fixed value).
 FLOOR = 1e-4
 
@@ -132,51 +136,56 @@ class GaussianCopula:
         config = config or {}
         most = int(config.get("snap_numeric_max_unique", SUPPORT))
         self.schema, self.marginals, self.constants, self.encodings = schema, [], {}, {}
-        latent = df.select(col(order).alias("__ord"), *[col(c) for c in schema.order])
+        base = df.select(col(order).alias("__ord"), *[col(c) for c in schema.order])
+        for c in schema.columns:  # cells as they are modelled; all marginals are taken from this frame
+            if c.mixed_value_kind and config.get("mixed_column_strategy", "split") == "split":
+                self.encodings[c.name] = mixed.fit(df, c.name, c.mixed_value_kind, most)
+                base = mixed.split(base, self.encodings[c.name])
+            elif c.kind == "numeric":
+                base = base.withColumn(c.name, to_double(col(c.name)))
+        base = latent = checkpoint(base)
         for c in schema.columns:
             if c.kind == "constant":
                 value = df.where(col(c.name).isNotNull()).select(col(c.name).cast("string")).first()
                 self.constants[c.name] = Marginal(c.name, "constant", c.missing_rate, values=[value[0] if value else None])
-            elif c.mixed_value_kind and config.get("mixed_column_strategy", "split") == "split":
-                e = self.encodings[c.name] = mixed.fit(df, c.name, c.mixed_value_kind, most)
-                latent = mixed.split(latent, e)
-                latent = self._numeric(latent, e.value_column, most)
-                latent = self._categorical(latent, e.state_column)
+            elif c.name in self.encodings:
+                latent = self._numeric(base, latent, self.encodings[c.name].value_column, most)
+                latent = self._categorical(base, latent, self.encodings[c.name].state_column)
             elif c.kind == "numeric":
-                latent = self._numeric(latent.withColumn(c.name, to_double(col(c.name))), c.name, most)
+                latent = self._numeric(base, latent, c.name, most)
             else:
-                latent = self._categorical(latent, c.name)
+                latent = self._categorical(base, latent, c.name)
         names = [f"__z{i}" for i in range(len(self.marginals))]
-        self.matrix = regularised(correlation(latent.select(names), names))
+        self.matrix = regularised(correlation(checkpoint(latent.select(names)), names) if names else np.zeros((0, 0)))
         return self
 
-    def _numeric(self, latent: DataFrame, name: str, most: int) -> DataFrame:
+    def _numeric(self, base: DataFrame, latent: DataFrame, name: str, most: int) -> DataFrame:
         z = f"__z{len(self.marginals)}"
-        got = latent.agg(F.count("*").alias("n"), F.count(col(name)).alias("k"), F.coalesce(F.bool_and(F.abs(col(name) - F.rint(col(name))) <= 1e-8 + 1e-5 * F.abs(F.rint(col(name)))), F.lit(False)).alias("whole")).first()
+        got = base.agg(F.count("*").alias("n"), F.count(col(name)).alias("k"), F.coalesce(F.bool_and(F.abs(col(name) - F.rint(col(name))) <= 1e-8 + 1e-5 * F.abs(F.rint(col(name)))), F.lit(False)).alias("whole")).first()
         if not got.k:
             self.marginals.append(Marginal(name, "numeric", 1.0))
             return latent.withColumn(z, F.lit(0.0))
         rate = (got.n - got.k) / got.n
-        ranks = midranks(latent, name)
-        support = mixed.support(latent, name, most)
+        ranks = checkpoint(midranks(base, name))
+        support = mixed.support(base, name, most)
         if got.k <= KNOTS:
             rows = ranks.select("value", "n").collect()
             values = sorted(r.value for r in rows for _ in range(r.n))
         else:
             points = [(i + 1) / KNOTS for i in range(KNOTS)]
-            values = latent.agg(F.percentile(col(name), F.array(*[F.lit(p) for p in points]))).first()[0]
+            values = base.agg(F.percentile(col(name), F.array(*[F.lit(p) for p in points]))).first()[0]
         self.marginals.append(Marginal(name, "numeric", rate, [], values, bool(got.whole), support))
         joined = latent.join(ranks.select(F.col("value").alias("__v"), "p"), col(name) == F.col("__v"), "left")
-        return joined.withColumn("__p", latent_numeric(joined, f"`{name}`", rate)).withColumn(z, normal.quantile(F.col("__p"))).drop("__v", "p", "__p")
+        return normal.quantiles(joined.withColumn("__p", latent_numeric(joined, f"`{name}`", rate)), {z: "__p"}).drop("__v", "p", "__p")
 
-    def _categorical(self, latent: DataFrame, name: str) -> DataFrame:
+    def _categorical(self, base: DataFrame, latent: DataFrame, name: str) -> DataFrame:
         z = f"__z{len(self.marginals)}"
-        shares = category_shares(latent, name, "__ord")
+        shares = checkpoint(category_shares(base, name, "__ord"))
         rows = sorted(shares.collect(), key=lambda r: r.first)
         self.marginals.append(Marginal(name, "categorical", 0.0, [r.share for r in rows], [r.value for r in rows]))
         mids = shares.select(F.col("value").alias("__v"), normal.inside(F.col("mid")).alias("__p"))
         joined = latent.join(mids, F.coalesce(col(name).cast("string"), F.lit(MISSING)) == F.col("__v"))
-        return joined.withColumn(z, normal.quantile(F.col("__p"))).drop("__v", "__p")
+        return normal.quantiles(joined, {z: "__p"}).drop("__v", "__p")
 
     def sample(self, spark: SparkSession, rows: int, start: int = 0, order: str = "_row_id") -> DataFrame:
         """``rows`` rows with numbers from ``start``."""
@@ -185,7 +194,7 @@ class GaussianCopula:
         k = len(self.marginals)
         root = np.linalg.cholesky(self.matrix) if k else self.matrix
         drawn = spark.range(start, start + rows).withColumnRenamed("id", order)
-        drawn = drawn.withColumns({f"__n{i}": normal.quantile(normal.inside(normal.uniform(self.seed, F.col(order), m.name))) for i, m in enumerate(self.marginals)})
+        drawn = normal.drawn(drawn, {f"__n{i}": m.name for i, m in enumerate(self.marginals)}, self.seed, order)
         mixes = {}
         for i in range(k):
             total = F.lit(0.0)
@@ -195,7 +204,7 @@ class GaussianCopula:
             mixes[f"__x{i}"] = total
         drawn = drawn.withColumns(mixes)
         drawn = drawn.withColumns({f"__u{i}": normal.distribution(F.col(f"__x{i}")) for i in range(k)})
-        made = drawn.withColumns({f"__c{i}": cell(m, F.col(f"__u{i}")) for i, m in enumerate(self.marginals)})
+        made = cells(drawn, self.marginals, [f"__u{i}" for i in range(k)], [f"__c{i}" for i in range(k)])
         at = {m.name: f"__c{i}" for i, m in enumerate(self.marginals)}
         out = []
         for c in self.schema.columns:
@@ -228,27 +237,49 @@ class GaussianCopula:
         return model
 
 
-def numeric_cell(m: Marginal, u: Column) -> Column:
-    """A number from a uniform: null below the missing rate, else the quantile, snapped and rounded as observed."""
-    if not m.values:
-        return F.lit(None).cast("double")
-    inner = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (u - m.missing_rate) / max(1.0 - m.missing_rate, normal.EPSILON)))
-    value = quantile4(inner, m.values)
-    if m.support:
-        value = snap(value, m.support)
-    if m.is_integer:
-        value = half_even(value)
-    return F.when(u >= m.missing_rate, value)
+def cells(df: DataFrame, marginals: Sequence[Marginal], uniforms: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """df with a cell for each marginal from a column of uniforms.  Short marginals are expressions; those of more than
+    INLINE points are looked up in Arrow batches, where a sorted array serves any length."""
+    rows = list(zip(marginals, uniforms, names))
+    scaled = {f"{n}__p": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(u) - m.missing_rate) / max(1.0 - m.missing_rate, normal.EPSILON))) for m, u, n in rows if m.kind == "numeric"}
+    df = df.withColumns(scaled) if scaled else df
+    raw = {}
+    for m, u, n in rows:
+        if not m.values:
+            raw[n] = F.lit(None).cast("double")
+        elif m.kind == "numeric":
+            raw[n] = quantile4(F.col(f"{n}__p"), m.values) if len(m.values) <= INLINE else _interpolated(m.values)(F.col(f"{n}__p"))
+        else:
+            upper = [math.fsum(m.shares[: i + 1]) for i in range(len(m.shares))]
+            values = [None if v == MISSING else v for v in m.values]
+            raw[n] = pick_interval(F.col(u), upper, values) if len(values) <= INLINE else _picked(upper, values)(F.col(u))
+    df = df.withColumns(raw) if raw else df
+    snapped = {n: snap(F.col(n), m.support) for m, _, n in rows if m.kind == "numeric" and m.support}
+    df = df.withColumns(snapped) if snapped else df
+    ended = {n: F.when(F.col(u) >= m.missing_rate, half_even(F.col(n)) if m.is_integer else F.col(n)) for m, u, n in rows if m.kind == "numeric"}
+    df = df.withColumns(ended) if ended else df
+    return df.drop(*scaled)
+
+
+def _interpolated(values: Sequence[float]):
+    knots = np.asarray(values, float)
+
+    @F.pandas_udf("double")
+    def look_up(u: pd.Series) -> pd.Series:
+        n = len(knots)
+        return pd.Series(np.interp(u.to_numpy(float), np.arange(1, n + 1) / n, knots))
+
+    return look_up
 
 
-def category_cell(m: Marginal, u: Column) -> Column:
-    upper = [math.fsum(m.shares[: i + 1]) for i in range(len(m.shares))]
-    values = [None if v == MISSING else v for v in m.values]
-    return pick_interval(u, upper, values)
+def _picked(upper: Sequence[float], values: Sequence):
+    bounds, texts = np.asarray(upper, float), np.array([None if v is None else str(v) for v in values], object)
 
+    @F.pandas_udf("string")
+    def look_up(u: pd.Series) -> pd.Series:
+        return pd.Series(texts[np.minimum(np.searchsorted(bounds, u.to_numpy(float), "right"), len(texts) - 1)])
 
-def cell(m: Marginal, u: Column) -> Column:
-    return numeric_cell(m, u) if m.kind == "numeric" else category_cell(m, u)
+    return look_up
 
 
 def dumps(model) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalars import clip, col, day_difference, hhmm_seconds, to_double
 from tabloom.operators.profile import LISTED, Schema
 from tabloom.plans.ordering import numbered, spread
+from tabloom.session import checkpoint
 
 FILL_MODES = ("fill_missing", "fill_missing_datetime")
 
@@ -77,18 +78,28 @@ def mine(schema: Schema, mode: str = "overwrite") -> Constraints:
     return Constraints(ranges, allowed, mode=mode)
 
 
-def out_of_range(c: str, low: float, high: float) -> Column:
-    n = to_double(col(c))
-    return F.coalesce(~n.between(low, high), F.lit(False))
+def numbers(df: DataFrame) -> frozenset[str]:
+    """The columns that hold numbers already and need no parsing."""
+    return frozenset(c for c, kind in df.dtypes if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")))
 
 
-def not_allowed(c: str, values: Sequence) -> Column:
+def number(c: str, typed: frozenset[str] = frozenset()) -> Column:
+    return F.nanvl(col(c).cast("double"), F.lit(None).cast("double")) if c in typed else to_double(col(c))
+
+
+def out_of_range(c: str, low: float, high: float, typed: frozenset[str] = frozenset()) -> Column:
+    return F.coalesce(~number(c, typed).between(low, high), F.lit(False))
+
+
+def not_allowed(c: str, values: Sequence, typed: frozenset[str] = frozenset()) -> Column:
     """Text and numbers compare as they print; a number also as the number that a listed text spells."""
-    text = col(c).cast("string")
-    listed = text.isin([str(v) for v in values])
     spelled = [float(v) for v in values if _spells(v)]
-    member = listed | to_double(col(c)).isin(spelled) if spelled else listed
-    return F.coalesce(~F.coalesce(member, F.lit(False)) & col(c).isNotNull(), F.lit(False))
+    if c in typed:
+        member = number(c, typed).isin(spelled)
+    else:
+        listed = col(c).cast("string").isin([str(v) for v in values])
+        member = listed | F.coalesce(to_double(col(c)).isin(spelled), F.lit(False)) if spelled else listed
+    return F.coalesce(~member, F.lit(False))
 
 
 def _spells(v: object) -> bool:
@@ -98,7 +109,7 @@ def _spells(v: object) -> bool:
         return False
 
 
-def off_derived(rule: Derived) -> Column:
+def off_derived(rule: Derived, typed: frozenset[str] = frozenset()) -> Column:
     """Whether the target differs from what is expected; a null on either side does not."""
     actual, expected = col(rule.target), rule.fn()
     if rule.kind == "datetime":
@@ -108,7 +119,7 @@ def off_derived(rule: Derived) -> Column:
     elif rule.kind == "categorical":
         wrong = actual != expected
     else:
-        wrong = F.abs(to_double(actual) - expected.cast("double")) > rule.tolerance
+        wrong = F.abs(number(rule.target, typed) - expected.cast("double")) > rule.tolerance
     return F.coalesce(wrong, F.lit(False))
 
 
@@ -125,18 +136,18 @@ def blank_rate(rule: ConditionalBlank) -> Column:
     return total / float(len(shares))
 
 
-def rates(constraints: Constraints, columns: Sequence[str]) -> list[tuple[str, str, Column]]:
+def rates(constraints: Constraints, columns: Sequence[str], typed: frozenset[str] = frozenset()) -> list[tuple[str, str, Column]]:
     """(kind of rule, name, aggregate) of every rule."""
     c = constraints.over(columns)
     found = [("conditional_blank", f"{r.parent}", blank_rate(r)) for r in c.blanks]
-    found += [("range", name, rate(out_of_range(name, *bounds))) for name, bounds in c.ranges.items()]
-    found += [("category", name, rate(not_allowed(name, values))) for name, values in c.allowed.items()]
-    return found + [("derived", r.target, rate(off_derived(r))) for r in c.derived]
+    found += [("range", name, rate(out_of_range(name, *bounds, typed))) for name, bounds in c.ranges.items()]
+    found += [("category", name, rate(not_allowed(name, values, typed))) for name, values in c.allowed.items()]
+    return found + [("derived", r.target, rate(off_derived(r, typed))) for r in c.derived]
 
 
 def violations(df: DataFrame, constraints: Constraints) -> DataFrame:
     """(rule, name, rate): all rules in one aggregation."""
-    found = rates(constraints, df.columns)
+    found = rates(constraints, df.columns, numbers(df))
     if not found:
         return df.sparkSession.createDataFrame([], "rule string, name string, rate double")
     one = df.agg(*[a.alias(f"r{i}") for i, (_, _, a) in enumerate(found)])
@@ -151,11 +162,13 @@ def logic_score(df: DataFrame, constraints: Constraints) -> DataFrame:
 
 def clip_ranges(df: DataFrame, constraints: Constraints) -> DataFrame:
     """Numbers held in their ranges; what is no number becomes null."""
-    return df.withColumns({c: clip(to_double(col(c)), *bounds) for c, bounds in constraints.over(df.columns).ranges.items()})
+    typed = numbers(df)
+    return df.withColumns({c: clip(number(c, typed), *bounds) for c, bounds in constraints.over(df.columns).ranges.items()})
 
 
 def normalise_categories(df: DataFrame, constraints: Constraints) -> DataFrame:
-    return df.withColumns({c: F.when(~not_allowed(c, values), col(c)) for c, values in constraints.over(df.columns).allowed.items()})
+    typed = numbers(df)
+    return df.withColumns({c: F.when(~not_allowed(c, values, typed), col(c)) for c, values in constraints.over(df.columns).allowed.items()})
 
 
 def enforce_blanks(df: DataFrame, constraints: Constraints) -> DataFrame:
@@ -175,12 +188,12 @@ def recompute(df: DataFrame, constraints: Constraints) -> DataFrame:
     return df
 
 
-def invalid(constraints: Constraints, columns: Sequence[str]) -> Column:
+def invalid(constraints: Constraints, columns: Sequence[str], typed: frozenset[str] = frozenset()) -> Column:
     """Whether a row breaks any range, list or derived rule (dates and times aren't held to it in fill modes)."""
     c = constraints.over(columns)
-    masks = [out_of_range(name, *bounds) for name, bounds in c.ranges.items()]
-    masks += [not_allowed(name, values) for name, values in c.allowed.items()]
-    masks += [off_derived(r) for r in c.derived if not (c.mode in FILL_MODES and r.kind in ("datetime", "time"))]
+    masks = [out_of_range(name, *bounds, typed) for name, bounds in c.ranges.items()]
+    masks += [not_allowed(name, values, typed) for name, values in c.allowed.items()]
+    masks += [off_derived(r, typed) for r in c.derived if not (c.mode in FILL_MODES and r.kind in ("datetime", "time"))]
     masks += [F.coalesce(r.infinite(), F.lit(False)) for r in c.derived if r.infinite and r.target in c.ranges and c.mode == "overwrite"]
     found = F.lit(False)
     for m in masks:
@@ -193,7 +206,7 @@ def repair(df: DataFrame, constraints: Constraints, order: str | None = None) ->
     df = recompute(enforce_blanks(normalise_categories(clip_ranges(df, constraints), constraints), constraints), constraints)
     if order and constraints.mode in FILL_MODES:
         df = align_missingness(df, constraints, order)
-    return df.where(~invalid(constraints, df.columns))
+    return df.where(~invalid(constraints, df.columns, numbers(df)))
 
 
 def repair_to_size(df: DataFrame, constraints: Constraints, order: str, sample: Callable[[int, int], DataFrame], rows: int, attempts: int = 3) -> DataFrame:
@@ -247,7 +260,7 @@ def soft_align(df: DataFrame, real: DataFrame, constraints: Constraints, order:
             if count <= 0:
                 continue
             df = _chosen(df, order, inactive & col(child).isNotNull(), F.lit(count), "__pick")
-            df = df.withColumn(child, F.when(~F.col("__pick"), col(child))).drop("__pick")
+            df = checkpoint(df.withColumn(child, F.when(~F.col("__pick"), col(child))).drop("__pick"))
             summary.append({"parent": rule.parent, "child": child, "syn_rate_before": before, "real_rate": real_rate, "target_rate": target, "blanked_rows": min(count, present)})
     return df, summary
 
@@ -277,6 +290,7 @@ def align_missingness(df: DataFrame, constraints: Constraints, order: str) -> Da
         df = _chosen(df, order, here & missing_aux, F.lit(min(deficit, got.first)), "__a")
         df = _chosen(df, order, here & ~F.col("__a"), F.lit(deficit - min(deficit, got.first)), "__b")
         df = df.withColumn(rule.target, F.when(~(F.col("__a") | F.col("__b")), col(rule.target))).drop("__a", "__b")
+        df = checkpoint(df)
     return df
 
 

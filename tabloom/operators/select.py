@@ -58,8 +58,8 @@ def row_scores(pool_long: DataFrame, scores: DataFrame, seed: int | None = 42) -
     total = joined.groupBy("ord").agg(F.sum("score").alias("score"))
     if seed is None:
         return total
-    jitter = normal.quantile(normal.inside(normal.uniform(seed, F.col("ord"), "__jitter"))) * 1e-9
-    return total.withColumn("score", F.col("score") + jitter)
+    drawn = normal.drawn(total, {"__jitter": "__jitter"}, seed, "ord")
+    return drawn.select("ord", (F.col("score") + F.col("__jitter") * 1e-9).alias("score"))
 
 
 def balanced(pool: DataFrame, real: DataFrame, schema: Schema, order: str, rows: int, most: int = LOW, missing_weight: float = MISSINGNESS_WEIGHT, bias: float = DEFICIT_BIAS, seed: int | None = 42) -> DataFrame:

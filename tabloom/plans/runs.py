@@ -15,7 +15,7 @@ from tabloom.operators import privacy, rules, validate
 from tabloom.operators.profile import Schema, distinct_rows, infer_schema
 from tabloom.operators.select import DEFICIT_BIAS, MISSINGNESS_WEIGHT, select_rows
 from tabloom.plans import clinical
-from tabloom.session import session
+from tabloom.session import checkpoint, session
 from tabloom.sources import tables
 from tabloom.sources.tables import ROW
 
@@ -24,23 +24,23 @@ ATTEMPTS, OVERSAMPLE = 4, 1.1
 
 def generate(spark: SparkSession, model, real: DataFrame, schema: Schema, constraints: rules.Constraints, rows: int, repair: bool = True, privacy_filter: bool = True, min_distance: float = 0.0, min_distance_quantile: float | None = None, oversample: float = OVERSAMPLE, attempts: int = ATTEMPTS, strategy: str = "head", order: str = ROW, most: int = 12, missing_weight: float = MISSINGNESS_WEIGHT, bias: float = DEFICIT_BIAS, seed: int | None = 42) -> DataFrame:
     """``rows`` new rows: drawn with some to spare, repaired, freed of privacy violations and duplicates, and selected; drawn
-    again, at most ``attempts`` times, while rows are lacking.  A draw is kept while it is counted."""
+    again, at most ``attempts`` times, while rows are lacking.  Every step is checkpointed: later steps ask it often."""
     kept, start = None, 0
     for _ in range(attempts):
         lacking = rows - (kept.count() if kept is not None else 0)
         if lacking <= 0:
             break
         size = max(round(lacking * oversample), lacking)
-        batch = model.sample(spark, size, start, order)
+        batch = checkpoint(model.sample(spark, size, start, order))
         start += size
         if repair:
-            batch = rules.repair(batch, constraints, order)
+            batch = checkpoint(rules.repair(batch, constraints, order))
         if privacy_filter:
             batch = privacy.filter_violations(real, batch, schema, order, min_distance, min_distance_quantile)
         pool = batch if kept is None else kept.unionByName(batch)
-        pool = distinct_rows(pool, order).persist()
+        pool = checkpoint(distinct_rows(pool, order))
         options = {"most": most, "missing_weight": missing_weight, "bias": bias, "seed": seed} if strategy == "balanced" else {}
-        kept = select_rows(pool, real, schema, order, rows, strategy, **options).persist()
+        kept = checkpoint(select_rows(pool, real, schema, order, rows, strategy, **options))
     if kept is None:
         raise ValueError("at least one attempt is needed")
     return kept.orderBy(col(order)).limit(rows).select(order, *[col(c) for c in schema.order])
@@ -52,7 +52,7 @@ def model_names(config: dict) -> list[str]:
 
 
 def _load(spark: SparkSession, source: str) -> tuple[DataFrame, Schema]:
-    real = tables.read_csv(spark, source)
+    real = checkpoint(tables.read_csv(spark, source))
     return real, infer_schema(real, ROW)
 
 
@@ -121,7 +121,7 @@ def run(spark: SparkSession, source: str, config: dict, out: str | None = None)
 def postprocess(spark: SparkSession, source: str, synthetic: str, out: str, strength: float = 0.5, **options) -> dict:
     """Conditional blanks of a synthetic table brought towards the source's rates, written, checked and noted."""
     real, schema = _load(spark, source)
-    syn = tables.read_csv(spark, synthetic)
+    syn = checkpoint(tables.read_csv(spark, synthetic))
     found = clinical.constraints(real, schema, blanks=True)
     adjusted, summary = rules.soft_align(syn, real, found, ROW, strength, **options)
     path, errors = tables.write_validated(adjusted, real, schema, out)
@@ -149,7 +149,7 @@ def score(real: DataFrame, syn: DataFrame, schema: Schema, constraints: rules.Co
 def precheck(spark: SparkSession, source: str, synthetic: str, config: dict | None = None, quick: bool = False) -> dict:
     """Format, similarity of columns and plausibility; unless ``quick`` or columns differ, the score as well."""
     real, schema = _load(spark, source)
-    syn = tables.read_csv(spark, synthetic)
+    syn = checkpoint(tables.read_csv(spark, synthetic))
     errors = validate.check_format(real.drop(ROW), syn.drop(ROW))
     similar = {r.name: r.similarity for r in validate.ks_similarity(validate.numeric_pairs(real.drop(ROW), syn.drop(ROW))).collect()}
     report = {"errors": errors, "similarity": similar, "sanity": validate.sanity(syn)}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
+_own: list[str] = []
 
 
 def session(app: str = "tabloom", **conf: str) -> SparkSession:
@@ -31,3 +34,23 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, f"{top.name}/{path.relative_to(top)}")
     context.addPyFile(name)
     _shipped[context.applicationId] = name
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the session's ``spark.checkpoint.dir``; where that is unset, a folder of this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tabloom-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        base = f"file://{_own[0]}"
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and cut from its lineage: nothing is lost with an executor, and the plan of
+    what follows starts anew."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
