@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.session import ship
+from tabloom.session import checkpoint, shared_dir, ship  # noqa: F401  the operators' own names for them
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,32 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's ``spark.checkpoint.dir``; where that is unset, a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = f"file://{_own_dir()}"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-_made: list[str] = []
-
-
-def _own_dir() -> str:
-    if not _made:
-        _made.append(tempfile.mkdtemp(prefix="tabloom-"))
-        atexit.register(shutil.rmtree, _made[0], True)
-    return _made[0]
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder and cut from its lineage: nothing is lost with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a compressed table in the shared folder, read back."""
     spark = df.sparkSession
