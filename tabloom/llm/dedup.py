@@ -10,7 +10,8 @@ array of the whole corpus would need it on one machine, so the strings that can
    already within a task (so a passage of a third of all documents leaves a row a task), then among all.
    Groups left with a single run are done: no other text has their windows.
 3. *Candidates.*  For the earliest runs of groups with different runs, the bytes are fetched.  Any window holds 34 bytes
-   before or 34 bytes after its anchor, so runs meet again by those bytes; what meets no other is done.
+   before or 34 bytes after its anchor, so runs are cut in two and meet again by those bytes; what meets no other is
+   done.
 4. *Suffix arrays.*  Runs that meet are joined to blocks and sorted by Lyndon grouping (:mod:`tabloom.llm.suffixes`);
    neighbours in the array with 100 equal bytes are one class of windows, whose earliest stays.
 
@@ -41,7 +42,7 @@ SIDE = (LENGTH - ANCHOR) // 2
 #: Runs of a task among which copies are found before the shuffle.
 TASK_RUNS = 1 << 19
 #: Bytes of runs sorted together; a larger group is sorted alone.
-BLOCK_BYTES = 1 << 15
+BLOCK_BYTES = 1 << 12
 NULL_ID = -(1 << 63)
 RUN = "anchor long, whole long, doc long, sub long, lo int, n int, head int"
 RUN_NAMES = [f.split()[0] for f in RUN.split(", ")]
@@ -181,7 +182,7 @@ def settle_runs(found: DataFrame) -> DataFrame:
 
 
 def candidates(settled: DataFrame, rows: DataFrame) -> DataFrame:
-    """(side, doc, sub, lo, n, bytes): a run's bytes under the hash of its anchor and of what stands before or after it."""
+    """(side, doc, sub, lo, n, bytes): the two parts of a run under the hash of its anchor and of what stands before or after it."""
     wanted = settled.where(F.col("head") != REMOVED).groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "lo", "n", "head")).alias("runs"))
     both = wanted.join(rows, ["doc", "sub"]).select("doc", "sub", "runs", "text")
 
@@ -191,16 +192,13 @@ def candidates(settled: DataFrame, rows: DataFrame) -> DataFrame:
                 data, made = text.encode(), ([], [], [], [])
                 for r in found:
                     lo, n = r["lo"], r["n"]
-                    at, end = lo + r["head"], lo + n - 1 + LENGTH
-                    sides = []
-                    if r["head"] >= SIDE:
-                        sides.append(data[at - SIDE : at + ANCHOR] + b"<")
-                    if end - at - ANCHOR >= SIDE:
-                        sides.append(data[at : at + ANCHOR + SIDE] + b">")
-                    for side in sides:
-                        key = hashlib.blake2b(side, digest_size=16).digest()
-                        for column, value in zip(made, (key, lo, n, data[lo:end])):
-                            column.append(value)
+                    at = lo + r["head"]
+                    before = min(n, max(0, r["head"] - SIDE + 1))  # windows that hold SIDE bytes before the anchor; the rest hold as many after it
+                    for first, size, side in ((lo, before, data[at - SIDE : at + ANCHOR] + b"<"), (lo + before, n - before, data[at : at + ANCHOR + SIDE] + b">")):
+                        if size:
+                            key = hashlib.blake2b(side, digest_size=16).digest()
+                            for column, value in zip(made, (key, first, size, data[first : first + size - 1 + LENGTH])):
+                                column.append(value)
                 if made[0]:
                     arrays = [pa.array(made[0], pa.binary()), pa.array([doc] * len(made[0]), pa.int64()), pa.array([sub] * len(made[0]), pa.int64())]
                     arrays += [pa.array(made[1], pa.int32()), pa.array(made[2], pa.int32()), pa.array(made[3], pa.binary())]
