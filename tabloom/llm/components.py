@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import checkpoint
 
 MAX_ROUNDS = 60
+#: Links of a partition.
+PART = 20_000
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -31,9 +33,10 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each node of the links (a, b) the least node of its component."""
     links = checkpoint(links.where("a <> b").select("a", "b").distinct())
-    seen = None
+    parts = 1 + links.count() // PART  # a few files a round, however many partitions the session deals out
+    links, seen = links.coalesce(parts), None
     for _ in range(MAX_ROUNDS):
-        links = checkpoint(_small(_large(links)))
+        links = checkpoint(_small(_large(links)).coalesce(parts))
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             break

@@ -12,11 +12,17 @@ classes are the connected components of links and equal texts.
 3. Improved consistent weighted sampling draws BANDS * ROWS samples; two texts agree on a sample with a probability
    equal to their similarity.  Gamma variates are looked up in quantile tables made by rule.  Texts that agree on
    all rows of a band share a bucket; at similarity 0.8 a pair misses every bucket with probability 0.003.
-4. Candidates: all pairs of buckets up to SMALL members; in larger ones every member with the bucket's hub, the
-   member whose buckets are the most populated.  Pairs that agree on under AGREE samples are left out (at
-   similarity 0.8 that befalls one in a million).  Candidates are verified with exact weights.
-5. What a large bucket's hub left apart is compared with all members of the bucket that are in other classes by then,
-   which is the exact rest; then components are taken again.
+4. Groups.  A bucket of up to SMALL members gives all its pairs (those that agree on under AGREE samples are left
+   out: at similarity 0.8 that befalls one in a million).  In a larger one every member is compared with the hub, the
+   member whose buckets are the most populated, and no other pair is made.
+5. What a hub can't settle.  Let y be like x, where x isn't linked to the hub, and let T be what at least two of the TEAM
+   members with the most populated buckets share (nearly all that the group has in common).  Either x and y share
+   shingles outside T: then one of the rarest such shingles of each, up to a weight of 1 - SIMILARITY of its own.  Or all
+   that they share is in T: then y's weight lies between SIMILARITY of x's and what the weight that x has in T allows.
+   Every member is put into new groups by those rarest shingles and by its class of weight, where members without a
+   link to the hub look for it.  Groups whose members are in one class by then are done; the others go through 4 and 5
+   again.  No pair of a bucket is lost, and the work grows with the members of groups, not with their pairs.  Groups that
+   are left after LEVELS rounds give all pairs of different classes.
 
 Defined results: a null text is a class of its own; texts without a word are alike only if equal; equal texts, ties and
 repeated rows share a class; the class id is the class's least doc_id (null only if all are); an empty table gives no
@@ -30,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import hashing
@@ -41,10 +47,18 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SAMPLES = BANDS * ROWS
 AGREE = 10
-SMALL = 16
+SMALL = 96
+TEAM = 8
+LEVELS = 4
+#: Classes of weight differ by this factor.
+STEP = 1.05
+#: What a key says: a shingle, or a class of weight that holds a member or is looked for by one.
+SHINGLE_KEY, HOLDS, SEEKS = 0, 1, 2
 CELLS = 1 << 17
 RARE = 100
 SCALE = 1 << 20
+#: Rows of a partition of candidates.
+PART = 20_000
 SEEDS = hashing.numbers(SAMPLES, 2)
 
 
@@ -111,6 +125,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     return hashing.groups((k, _bytes(t)) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """The frame, checkpointed, in as many partitions as its rows need, however many the session deals out."""
+    df = checkpoint(df)
+    return df.coalesce(1 + df.count() // PART)
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, text, node): the node is the digest of a text, null for a null text."""
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("node", F.unhex(F.md5("text")))
@@ -194,25 +214,114 @@ def _agree(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
 
 
-def verified(pairs: DataFrame, rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar; texts are fetched for the pairs' nodes alone."""
-    shared = rows.sparkSession.sparkContext.broadcast(idf)
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+def outside(x: tuple[np.ndarray, np.ndarray], team: tuple[np.ndarray, np.ndarray], idf: np.ndarray, name: bytes, linked: bool) -> tuple[list[int], list[int]]:
+    """The keys of the groups in which x meets all that are like it where not both are linked to the hub of that name, and
+    what each says; ``team`` may be any weighted set."""
+    keys, weights = x
+    shared = np.zeros(len(keys))
+    if len(team[0]):
+        at = np.clip(np.searchsorted(team[0], keys), 0, len(team[0]) - 1)
+        shared = np.where(team[0][at] == keys, np.minimum(weights, team[1][at]), 0.0)
+    total, common, rest = weights.sum(), shared.sum(), weights - shared
+    own = np.flatnonzero(rest > 0)
+    order = own[np.lexsort((keys[own], -idf[cells(keys[own])]))]
+    enough = int(np.searchsorted(np.cumsum(rest[order]), (1 - SIMILARITY) * total * (1 - 1e-6), "right")) + 1
+    found = keys[order[:enough]].view(np.int64).tolist()
+    says = [SHINGLE_KEY] * len(found)
+    step = lambda w: int(np.floor(np.log(w) / np.log(STEP)))
+    low, high = SIMILARITY * total * (1 - 1e-6), (common / SIMILARITY + common - total) * (1 + 1e-6)
+    classes = [(step(total), HOLDS)] if high >= low else []
+    if not linked and high >= low:
+        classes += [(k, SEEKS) for k in range(step(low), step(high) + 1)]
+    of_hub = int.from_bytes(name[:8], "little")
+    marks = np.array([(of_hub + (k + 100_000) * hashing.GOLDEN) & hashing.MASK for k, _ in classes], np.uint64)
+    return found + hashing.mix(marks).view(np.int64).tolist(), says + [role for _, role in classes]
+
+
+def teams(chosen: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, team_keys, team_weights): by hub the shingles that two or more of its at most TEAM chosen members hold."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    held = chosen.join(texts, "node").groupBy("hub").agg(F.collect_list("text").alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.astype(np.float64)
+        for batch in batches:
+            keys, values = [], []
+            for texts in batch.column(1).to_pylist():
+                sets = [counted(next(hashing.shingles([_bytes(t)])), weights) for t in texts]
+                every, where, held = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True, return_counts=True)
+                most = np.zeros(len(every))
+                np.maximum.at(most, where, np.concatenate([w for _, w in sets]))
+                keys.append(every[held > 1].view(np.int64).tolist())
+                values.append(most[held > 1].tolist())
+            arrays = [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "team_keys", "team_weights"])
+
+    return held.mapInArrow(run, "a binary, team_keys array<long>, team_weights array<double>")
+
+
+def verified(pairs: DataFrame, chosen: DataFrame | None, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b, linked, keys, says): whether the texts of nodes a and b are similar; where a is a hub, the keys that :func:`outside`
+    gives for b."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    if chosen is None:
+        both = both.withColumn("team_keys", F.lit(None).cast("array<long>")).withColumn("team_weights", F.lit(None).cast("array<double>"))
+    else:
+        both = both.join(teams(chosen, texts, idf), "a", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.astype(np.float64)
-        last: tuple = (None, None)
+        last: tuple = (None, None, None)
         for batch in batches:
-            close = []
-            for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            close, keys, says = [], [], []
+            for i, (a, hub, text_a, text_b) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)))):
                 if last[0] != a:
-                    last = (a, counted(next(hashing.shingles([_bytes(text_a)])), weights))
-                close.append(similarity(last[1], counted(next(hashing.shingles([_bytes(text_b)])), weights)) >= SIMILARITY)
-            yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+                    team = (np.array(batch.column(5)[i].as_py() or [], np.int64).view(np.uint64), np.array(batch.column(6)[i].as_py() or [], np.float64))
+                    last = (a, counted(next(hashing.shingles([_bytes(text_a)])), weights), team)
+                other = counted(next(hashing.shingles([_bytes(text_b)])), weights)
+                close.append(similarity(last[1], other) >= SIMILARITY)
+                found, said = outside(other, last[2], weights, a, close[-1]) if hub else ([], [])
+                keys.append(found)
+                says.append(said)
+            arrays = [batch.column(0), batch.column(1), pa.array(close, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(says, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "linked", "keys", "says"])
+
+    names = ["a", "b", "hub", "text_a", "text_b", "team_keys", "team_weights"]
+    return both.select(names).mapInArrow(run, "a binary, b binary, linked boolean, keys array<long>, says array<tinyint>")
+
+
+def _chosen(groups: DataFrame) -> DataFrame:
+    """(hub, node): for each hub the TEAM most populated members of one of its large groups."""
+    best = F.min(F.struct(-F.col("support"), F.col("node").alias("hub")))
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("n"), best.alias("h")).where(F.col("n") > SMALL)
+    one = sizes.groupBy(F.col("h.hub").alias("hub")).agg(F.max(F.struct("n", "gid"))["gid"].alias("gid"))
+    first = Window.partitionBy("gid").orderBy(F.desc("support"), "node")
+    return groups.join(one, "gid").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= TEAM).select("hub", "node")
+
+
+def _pairs(groups: DataFrame, last: bool, more: bool) -> DataFrame:
+    """(a, b, hub) of groups (gid, node, support, label, sketch): all pairs of small groups, each member of a large one with its
+    hub (as a), with ``more`` also with the others of the TEAM most populated; in the last round all pairs of different
+    classes."""
+    best = F.min(F.struct(-F.col("support"), F.col("node").alias("hub")))
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("n"), best.alias("h")).where("n > 1").select("gid", "n", "h.hub")
+    sized = groups.join(sizes, "gid")
+    small = sized if last else sized.where(F.col("n") <= SMALL)
+    other = small.select("gid", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
+    met = small.withColumnRenamed("node", "a").join(other, "gid").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")))
+    pairs = met.where(_agree("sketch", "sketch_b")).select("a", "b", F.lit(False).alias("hub"))
+    if last:
+        return pairs.distinct()
+    star = sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hub"))
+    pairs = pairs.unionByName(star)
+    if more:
+        first = Window.partitionBy("gid").orderBy(F.desc("support"), "node")
+        top = sized.where(F.col("n") > SMALL).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= TEAM)
+        top = top.select("gid", F.col("node").alias("a"), F.col("label").alias("label_a"))
+        others = sized.join(top, "gid").where((F.col("label") != F.col("label_a")) & (F.col("node") != F.col("a")))
+        pairs = pairs.unionByName(others.select("a", F.col("node").alias("b"), F.lit(False).alias("hub")))
+    return pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -221,34 +330,31 @@ def classes(docs: DataFrame) -> DataFrame:
     real = rows.where("text IS NOT NULL")
     idf = idf_table(real)
     drawn = written(sketches(real, idf), "sketches")
-    banded = drawn.select("node", "sketch", F.posexplode("buckets").alias("band", "bucket"))
-    key = ["band", "bucket"]
-    sizes = banded.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(banded.join(sizes, key))
-    small = members.where(F.col("n") <= SMALL).select(*key, "node", "sketch")
-    other = small.select(*key, F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    pairs = small.withColumnRenamed("node", "a").join(other, key).where(F.col("a") < F.col("b")).where(_agree("sketch", "sketch_b")).select("a", "b")
-    large = members.where(F.col("n") > SMALL)
-    support = members.groupBy("node").agg(F.sum("n").alias("support"))
-    lone = F.struct(-F.col("support"), F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch"))
-    hubs = large.join(support, "node").groupBy(key).agg(F.min(lone).alias("h")).select(*key, "h.hub", "h.hub_sketch")
-    star = large.join(hubs, key).where("node <> hub").where(_agree("sketch", "hub_sketch"))
-    pairs = pairs.unionByName(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
-    links = checkpoint(verified(checkpoint(pairs), real, idf))
-    found = checkpoint(components(links))
-
-    placed = large.select(*key, "node", "sketch").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    main = placed.join(hubs.select(*key, F.col("hub").alias("node")), [*key, "node"], "left_semi").select(*key, F.col("label").alias("main"))
-    apart = placed.join(main, key).where("label <> main").select(*key, F.col("node").alias("x"), F.col("sketch").alias("sketch_x"), F.col("label").alias("label_x"))
-    rest = checkpoint(
-        apart.join(placed, key)
-        .where((F.col("label") != F.col("label_x")) & _agree("sketch", "sketch_x"))
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    if not rest.isEmpty():
-        found = checkpoint(components(links.unionByName(verified(rest, real, idf))))
+    banded = drawn.select("node", "sketch", F.posexplode("buckets").alias("band", "bucket")).withColumn("gid", F.xxhash64("band", "bucket"))
+    sizes = banded.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
+    members = compact(banded.join(sizes, "gid").select("gid", "node", "sketch", "n"))
+    about = compact(members.groupBy("node").agg(F.sum("n").alias("support"), F.first("sketch").alias("sketch")))
+    texts = written(real.join(about.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    groups = compact(members.select("gid", "node").distinct().join(about, "node").withColumn("label", F.col("node")))
+    links = found = tested = None
+    for level in range(LEVELS + 1):
+        pairs = _pairs(groups, level == LEVELS, level > 0)
+        if tested is not None:
+            known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        checked = compact(verified(compact(pairs), None if level == LEVELS else compact(_chosen(groups)), texts, idf))
+        now = checked.where("linked").select("a", "b")
+        links = now if links is None else links.unionByName(now)
+        found = compact(components(links))
+        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
+        keyed = checked.where(F.size("keys") > 0).select(F.col("b").alias("node"), "keys", "says").join(found, "node", "left")
+        each = keyed.select("node", F.coalesce("label", "node").alias("label"), F.explode(F.arrays_zip("keys", "says")).alias("k"))
+        named = each.select(F.xxhash64("k.keys", F.lit(level)).alias("gid"), "node", "label", F.col("k.says").alias("says"))
+        kinds = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("says").alias("least"), F.max("says").alias("most"))
+        open_ = kinds.where(f"x <> y AND (least = {SHINGLE_KEY} OR least < most)").select("gid")
+        groups = compact(named.join(open_, "gid", "left_semi").select("gid", "node", "label").distinct().join(about, "node"))
+        if groups.isEmpty():
+            break
 
     labelled = rows.select("doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))

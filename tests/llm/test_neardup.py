@@ -98,6 +98,39 @@ def test_planted_groups(spark):
     assert kept == set(found.values())
 
 
+def test_large_group_as_all_pairs(spark):
+    """A group of copies with few and many changes, some cut short, some changed alike: links that no hub shows."""
+    rng = random.Random(8)
+    base = words(rng, 150)
+    texts = [" ".join(changed(rng, base, rng.randint(0, 7))) for _ in range(300)]
+    for _ in range(4):  # families within the family: far from the hub, near to each other
+        part = changed(rng, base, 12)
+        texts += [" ".join(changed(rng, part, 1)) for _ in range(8)]
+    texts += [" ".join(base[: rng.randint(60, 150)]) for _ in range(40)]
+    rng.shuffle(texts)
+    docs = frame(spark, texts)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == plain_classes(docs)
+
+
+def test_keys_outside_a_hub():
+    """Whatever is like x meets it in a group of the keys that either has outside a hub, or is like the hub."""
+    rng = np.random.default_rng(4)
+    idf = np.round(rng.uniform(0.1, 1, neardup.CELLS), 2)
+    met = 0
+    for _ in range(600):
+        pool = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        hub, x = (neardup.counted(rng.choice(pool, rng.integers(5, 60)), idf) for _ in range(2))
+        drop = rng.integers(0, max(1, len(x[0]) // 5) + 1)
+        y = (x[0][drop:], x[1][drop:])
+        linked = [neardup.similarity(z, hub) >= 0.8 for z in (x, y)]
+        if neardup.similarity(x, y) >= 0.8 and not all(linked):
+            met += 1
+            a, b = ({*zip(*neardup.outside(z, hub, idf, b"name of a hub", on))} for z, on in zip((x, y), linked))
+            flip = {0: 0, 1: 2, 2: 1}
+            assert {(k, flip[role]) for k, role in a} & b
+    assert met > 50
+
+
 def test_edges(spark):
     rows = [None, None, "", "", " ", "one", "one", "one two", "tie tie tie tie tie tie", "tie tie tie tie tie tie", "long word " * 20_000, "X" * 100_000]
     docs = frame(spark, rows)
