@@ -340,8 +340,9 @@ def classes(docs: DataFrame) -> DataFrame:
     for level in range(LEVELS + 1):
         pairs = _pairs(groups, level == LEVELS, level > 0)
         if tested is not None:
+            # a tested pair isn't made again, but with the hub of a group that is: the member's keys come from it
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+            pairs = pairs.join(known.withColumn("hub", F.lit(False)), ["a", "b", "hub"], "left_anti")
         checked = compact(verified(compact(pairs), None if level == LEVELS else compact(_chosen(groups)), texts, idf))
         now = checked.where("linked").select("a", "b")
         links = now if links is None else links.unionByName(now)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabloom.llm import hashing, neardup
 from tabloom.llm.common import table
@@ -112,6 +113,24 @@ def test_large_group_as_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == plain_classes(docs)
 
 
+def test_member_that_met_its_later_hub_before(spark, monkeypatch):
+    """Families within families in one bucket, with pairs that no key of the first rounds sets apart: they stay in the
+    search for more rounds, also under a hub that they were compared with when it was of a team."""
+    rng = random.Random(1)
+    parts = [words(rng, 60)]
+    for n in (4, 40):
+        starts = [(part, rng.randrange(56)) for part in parts for _ in range(n)]
+        parts = [part[:at] + words(rng, 4) + part[at + 4 :] for part, at in starts]
+    texts = [" ".join(part[:-1] + words(rng, 1)) for part in parts for _ in range(2)]
+    rng.shuffle(texts)
+    docs = frame(spark, texts)
+    drawn = neardup.sketches
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "idf_table", lambda rows: np.ones(neardup.CELLS, np.float32))  # as rare as in a large corpus
+    monkeypatch.setattr(neardup, "sketches", lambda rows, idf: drawn(rows, idf).withColumn("buckets", F.array(F.lit(1).cast("long"))))
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == plain_classes(docs)
+
+
 def test_keys_outside_a_hub():
     """Whatever is like x meets it in a group of the keys that either has outside a hub, or is like the hub."""
     rng = np.random.default_rng(4)
