@@ -287,8 +287,10 @@ def removals(docs: DataFrame, *keep: Column | str) -> tuple[DataFrame, DataFrame
     """(doc, sub, spans array<struct<lo, n>>) of documents with removed windows; (doc, sub, text, what to keep) of all rows."""
     rows = keyed(docs).select("doc", "sub", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     once = rows.select("doc", "sub", "text")
+    if _repeats(rows):  # one document, else its runs would be copies of themselves
+        once = once.dropDuplicates(["doc", "sub"])
     settled = written(settle_runs(find_runs(once)), "runs")
-    sorted_out = written(sort_blocks(candidates(settled, once.dropDuplicates(["doc", "sub"]) if _repeats(rows) else once)), "windows")
+    sorted_out = written(sort_blocks(candidates(settled, once)), "windows")
     gone = settled.where(F.col("head") == REMOVED).select("doc", "sub", "lo", "n").unionByName(sorted_out)
     return gone.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), rows
 

@@ -84,6 +84,15 @@ def test_null_and_repeated_ids(spark):
     assert seven in ({(300, 0), (450, 450)}, {(300, 300), (450, 150)})
 
 
+def test_repeated_rows_alone_keep_their_text(spark):
+    text, other = "".join(random.Random(6).choices("abcdefgh ", k=300)), "".join(random.Random(7).choices("abcdefgh ", k=120))
+    for rows in ([(5, text), (5, text)], [(5, text), (5, text), (5, other), (None, other), (None, other)]):
+        docs = frame(spark, rows).repartition(3)
+        got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in dedup.remove_repeats(docs).collect())
+        assert got == sorted((i or -1, len(t), 120 if (i, t) == (5, other) else 0) for i, t in rows)
+        assert sorted(r.text for r in dedup.rewrite(docs).collect()) == sorted(t for i, t in rows if (i, t) != (5, other))
+
+
 def test_rewrite_keeps_columns(spark):
     rng = random.Random(4)
     prose = lambda n: "".join(rng.choices("abcdefgh éü", k=n))
