@@ -2,7 +2,7 @@
 
 Exact matches are null-safe joins on typed columns.  Distances go to at most MAX_ROWS source rows, a bounded sample by
 seeded hash, so the matrix that workers hold has a proven bound; every synthetic row is compared with it in Arrow
-batches by one matrix product.
+batches by one matrix product.  Where all source rows count, they go to the workers in blocks of that size.
 """
 
 from __future__ import annotations
@@ -62,6 +62,21 @@ def duplicate_rate(syn: DataFrame, columns: Sequence[str]) -> DataFrame:
     return got.select(F.coalesce((F.col("rows") - F.col("kinds")) / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0)).alias("duplicate_rate"))
 
 
+def _least(keys: pd.Series, vectors: pd.Series, ids: np.ndarray, matrix: np.ndarray, other: bool) -> np.ndarray:
+    """The distance of each vector to the nearest row of the matrix, NaN without one; with ``other`` not to that of its key."""
+    out = np.full(len(keys), np.nan)
+    for at in range(0, len(keys) if len(ids) else 0, 256):
+        rows = np.stack(vectors.iloc[at : at + 256].to_numpy()).astype(np.float64)
+        square = (rows * rows).sum(1)[:, None] + (matrix * matrix).sum(1) - 2 * rows @ matrix.T
+        if other:
+            square[keys.iloc[at : at + 256].to_numpy()[:, None] == ids] = np.inf
+        best = square.argmin(1)
+        gap = rows - matrix[best]  # the product only ranks; the distance is taken directly
+        found = np.sqrt((gap * gap).sum(1))
+        out[at : at + len(rows)] = np.where(np.isinf(square[np.arange(len(rows)), best]), np.nan, found)
+    return out
+
+
 def nearest(queries: DataFrame, key: str, vector: str, source: Sequence[tuple[int, Sequence[float]]], other: bool = False) -> DataFrame:
     """(key, distance): the Euclidean distance of each array column to the nearest source vector; with ``other`` the
     source vector with the same key doesn't count.  The source is a list of at most MAX_ROWS (key, vector)."""
@@ -72,25 +87,29 @@ def nearest(queries: DataFrame, key: str, vector: str, source: Sequence[tuple[in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
         for batch in batches:
-            out = np.full(len(batch), np.nan)
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                if not len(ids):
-                    continue
-                rows = np.stack(part[vector].to_numpy()).astype(np.float64)
-                square = (rows * rows).sum(1)[:, None] + (matrix * matrix).sum(1) - 2 * rows @ matrix.T
-                if other:
-                    square[part[key].to_numpy()[:, None] == ids] = np.inf
-                best = square.argmin(1)
-                gap = rows - matrix[best]  # the product only ranks; the distance is taken directly
-                found = np.sqrt((gap * gap).sum(1))
-                out[at : at + len(part)] = np.where(np.isinf(square[np.arange(len(part)), best]), np.nan, found)
-            yield pd.DataFrame({key: batch[key], "distance": out})
+            yield pd.DataFrame({key: batch[key], "distance": _least(batch[key], batch[vector], ids, matrix, other)})
 
     rows = queries.select(col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
     return rows.mapInPandas(run, f"`{key}` long, distance double").withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
+def nearest_of_all(queries: DataFrame, key: str, vector: str, source: DataFrame, other: bool = False) -> DataFrame:
+    """The same for a source frame of any size with these columns and unique keys on both sides: every block of some
+    MAX_ROWS source rows meets every block of some MAX_ROWS queries in a worker."""
+    columns = [col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)]
+    asked, known = queries.select(columns), source.select(columns)
+    n, m = (1 + df.count() // MAX_ROWS for df in (asked, known))
+    asked = asked.withColumn("__a", F.pmod(F.xxhash64(col(key)), F.lit(n))).withColumn("__b", F.explode(F.expr(f"sequence(0L, {m - 1}L)")))
+    known = known.withColumn("__b", F.pmod(F.xxhash64(col(key)), F.lit(m))).withColumn("__a", F.explode(F.expr(f"sequence(0L, {n - 1}L)")))
+
+    def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack(theirs[vector].to_numpy()).astype(np.float64) if len(theirs) else np.zeros((0, 0))
+        return pd.DataFrame({key: ours[key], "distance": _least(ours[key], ours[vector], theirs[key].to_numpy(), matrix, other)})
+
+    met = asked.groupBy("__a", "__b").cogroup(known.groupBy("__a", "__b")).applyInPandas(run, f"`{key}` long, distance double")
+    return met.groupBy(col(key)).agg(F.min(F.nanvl("distance", F.lit(None).cast("double"))).alias("distance"))
+
+
 def summary(distances: DataFrame) -> DataFrame:
     """One row: mean, median and 5 % quantile (0 without rows)."""
     d = F.col("distance")

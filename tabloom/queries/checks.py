@@ -53,8 +53,7 @@ def duplicate_flags(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    source = [(r.vec_id, r.embedding) for r in rows.where("vec_id % 5 = 0").orderBy("vec_id").limit(privacy.MAX_ROWS).collect()]
-    return rows, source
+    return rows, rows.where("vec_id % 5 = 0")
 
 
 NEAR = "SELECT a.vec_id, min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 5 = 0 AND {} GROUP BY a.vec_id"
@@ -63,26 +62,26 @@ NEAR = "SELECT a.vec_id, min(list_distance(a.embedding::DOUBLE[], b.embedding::D
 @query(f"SELECT vec_id, round(distance, 6) AS distance FROM ({NEAR.format('a.vec_id % 5 <> 0')})")
 def nn_distance(spark, sf_dir):
     rows, source = _vectors(spark, sf_dir)
-    return privacy.nearest(rows.where("vec_id % 5 <> 0"), "vec_id", "embedding", source).select("vec_id", F.round("distance", 6).alias("distance"))
+    return privacy.nearest_of_all(rows.where("vec_id % 5 <> 0"), "vec_id", "embedding", source).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"SELECT vec_id, round(distance, 6) AS distance FROM ({NEAR.format('a.vec_id % 5 = 0 AND a.vec_id <> b.vec_id')})")
 def self_nn(spark, sf_dir):
     rows, source = _vectors(spark, sf_dir)
-    return privacy.nearest(rows.where("vec_id % 5 = 0"), "vec_id", "embedding", source, other=True).select("vec_id", F.round("distance", 6).alias("distance"))
+    return privacy.nearest_of_all(rows.where("vec_id % 5 = 0"), "vec_id", "embedding", source, other=True).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"SELECT round(avg(distance), 6) AS mean_distance, round(median(distance), 6) AS median_distance, round(quantile_cont(distance, 0.05), 6) AS p05_distance FROM ({NEAR.format('a.vec_id % 5 <> 0')})")
 def nn_summary(spark, sf_dir):
     rows, source = _vectors(spark, sf_dir)
-    found = privacy.summary(privacy.nearest(rows.where("vec_id % 5 <> 0"), "vec_id", "embedding", source))
+    found = privacy.summary(privacy.nearest_of_all(rows.where("vec_id % 5 <> 0"), "vec_id", "embedding", source))
     return found.select([F.round(c, 6).alias(c) for c in found.columns])
 
 
 @query(f"SELECT round(greatest(0.1, quantile_cont(distance, 0.2)), 6) AS min_distance FROM ({NEAR.format('a.vec_id % 5 = 0 AND a.vec_id <> b.vec_id')})")
 def privacy_threshold(spark, sf_dir):
     rows, source = _vectors(spark, sf_dir)
-    found = privacy.threshold(privacy.nearest(rows.where("vec_id % 5 = 0"), "vec_id", "embedding", source, other=True), 0.1, 0.2)
+    found = privacy.threshold(privacy.nearest_of_all(rows.where("vec_id % 5 = 0"), "vec_id", "embedding", source, other=True), 0.1, 0.2)
     return found.select(F.round("min_distance", 6).alias("min_distance"))
 
 
@@ -91,7 +90,7 @@ def privacy_threshold(spark, sf_dir):
 def privacy_score(spark, sf_dir):
     real, syn = _customers(spark, sf_dir)
     rows, source = _vectors(spark, sf_dir)
-    near = privacy.summary(privacy.nearest(rows.where("vec_id % 5 <> 0"), "vec_id", "embedding", source))
+    near = privacy.summary(privacy.nearest_of_all(rows.where("vec_id % 5 <> 0"), "vec_id", "embedding", source))
     joined = near.crossJoin(privacy.exact_match_rate(syn, real, COLUMNS)).crossJoin(privacy.duplicate_rate(syn, COLUMNS))
     return joined.select(F.round(privacy.privacy_score(F.col("exact_match_rate"), F.col("duplicate_rate"), F.col("median_distance")), 6).alias("privacy_score"))
 

@@ -4,6 +4,7 @@ import math
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from tabloom.operators.profile import infer_schema
 from tabloom.operators.rules import ConditionalBlank, Constraints, Derived
 from tabloom.plans import clinical
 from tabloom.plans.ordering import numbered, running, spread
+from tabloom.queries import checks  # noqa: F401  registers its queries
+from tabloom.queries.registry import QUERIES
 
 
 def column(spark, values, kind="string"):
@@ -267,3 +270,19 @@ def test_clinical_rules(spark):
     c = clinical.constraints(df, infer_schema(df, "_row_id"), blanks=True, mode="fill_missing")
     assert [r.target for r in c.derived] == [target] and c.derived[0].target_missing_rate == 0.5 and [b.children for b in c.blanks] == [["Type of anastomosis::67"]]
     assert rules.recompute(df, c).where(s.col(target).isNull()).count() == 0
+
+
+def test_nearest_of_all_source_rows(spark, tmp_path):
+    """More than MAX_ROWS source vectors; the last are the nearest of all queries."""
+    n = 5 * (privacy.MAX_ROWS + 500)
+    at = np.arange(n, dtype=float)
+    rows = pd.DataFrame({"vec_id": np.arange(n), "embedding": [[float(v), 0.0] for v in np.where(np.arange(n) % 5 == 0, at, at + 10 * n)]})
+    rows.to_parquet(tmp_path / "embeddings.parquet")
+    source = at[::5]
+    found = {r.vec_id: r.distance for r in QUERIES["nn_distance"](spark, str(tmp_path)).collect()}
+    assert found == {i: i + 10 * n - source[-1] for i in range(n) if i % 5}
+    alone = {r.vec_id: r.distance for r in QUERIES["self_nn"](spark, str(tmp_path)).collect()}
+    assert alone == {i: 5.0 for i in range(0, n, 5)}
+    frame = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "k long, v array<double>")
+    assert [r.distance for r in privacy.nearest_of_all(frame, "k", "v", frame.limit(0)).collect()] == [None, None]
+    assert [r.distance for r in privacy.nearest_of_all(frame.limit(1), "k", "v", frame.limit(1), other=True).collect()] == [None]
