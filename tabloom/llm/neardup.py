@@ -12,17 +12,20 @@ classes are the connected components of links and equal texts.
 3. Improved consistent weighted sampling draws BANDS * ROWS samples; two texts agree on a sample with a probability
    equal to their similarity.  Gamma variates are looked up in quantile tables made by rule.  Texts that agree on
    all rows of a band share a bucket; at similarity 0.8 a pair misses every bucket with probability 0.003.
-4. Groups.  A bucket of up to SMALL members gives all its pairs (those that agree on under AGREE samples are left
-   out: at similarity 0.8 that befalls one in a million).  In a larger one every member is compared with the hub, the
-   member whose buckets are the most populated, and no other pair is made.
-5. What a hub can't settle.  Let y be like x, where x isn't linked to the hub, and let T be what at least two of the TEAM
-   members with the most populated buckets share (nearly all that the group has in common).  Either x and y share
-   shingles outside T: then one of the rarest such shingles of each, up to a weight of 1 - SIMILARITY of its own.  Or all
-   that they share is in T: then y's weight lies between SIMILARITY of x's and what the weight that x has in T allows.
-   Every member is put into new groups by those rarest shingles and by its class of weight, where members without a
-   link to the hub look for it.  Groups whose members are in one class by then are done; the others go through 4 and 5
-   again.  No pair of a bucket is lost, and the work grows with the members of groups, not with their pairs.  Groups that
-   are left after LEVELS rounds give all pairs of different classes.
+4. Small groups.  A bucket of up to SMALL members is sent with its texts to one place, once where several buckets have the
+   same members, and all its pairs are compared there; what comes out is a spanning forest and no pair.
+5. Large groups.  Larger buckets that share members are one cluster, and clusters are disjoint.  Each has a hub, the member
+   of most buckets, and every other member is compared with it.  Let y be like x, where x isn't linked to the hub, and let T
+   be what at least two of the cluster's TEAM members of most buckets share (nearly all that the cluster has in
+   common).  Either x and y share shingles outside T: then one of the rarest such shingles of each, up to a weight of
+   1 - SIMILARITY of its own.  Or all that they share is in T: then y's weight lies between SIMILARITY of x's and what the
+   weight that x has in T allows.  Every member is put once into new groups by those rarest shingles (a fifth of its own
+   at most) and by its class of weight, where members without a link to the hub look for it.  New groups with different
+   classes go through 4 and 5 again.
+6. The end.  From the second round on, a cluster has TEAM pivots, twice as many each round; they are compared with
+   all members in other classes and leave the search, since nothing of theirs is open.  So every round shrinks every
+   cluster, the number of rounds grows with the logarithm of the largest, no pair of a bucket is lost, and no round is one of
+   all pairs.
 
 Defined results: a null text is a class of its own; texts without a word are alike only if equal; equal texts, ties and
 repeated rows share a class; the class id is the class's least doc_id (null only if all are); an empty table gives no
@@ -36,20 +39,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import hashing
-from tabloom.llm.common import checkpoint, written
+from tabloom.llm.common import bucketed, checkpoint, written
 from tabloom.llm.components import components
 
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SAMPLES = BANDS * ROWS
-AGREE = 10
 SMALL = 96
 TEAM = 8
-LEVELS = 4
+#: Members of a large cluster that are compared with one copy of the hub's text.
+SHARE = 512
+#: Numbers of a block of the table by which a small group is compared.
+BLOCK = 1 << 20
 #: Classes of weight differ by this factor.
 STEP = 1.05
 #: What a key says: a shingle, or a class of weight that holds a member or is looked for by one.
@@ -189,29 +194,22 @@ def idf_table(rows: DataFrame) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, band, bucket, sketch): a row a band of every row whose text has a word; copies give equal rows."""
+    """(node, buckets): a number a band for every node whose text has a word."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.astype(np.float64)
         for group in _grouped(batches):
-            keys, sketch, bucket = [], [], []
+            keys, bucket = [], []
             for (node, _), found in zip(group, hashing.shingles([g[1] for g in group])):
                 if len(found):
                     drawn = samples(*counted(found, weights))
                     keys.append(node)
-                    sketch.append((drawn & np.uint64(0x7FFFFFFF)).astype(np.int32).tolist())
                     bucket.append(hashing.mix((drawn.reshape(BANDS, ROWS) * hashing.STEPS[:ROWS]).sum(1)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(bucket, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))], ["node", "buckets", "sketch"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bucket, pa.list_(pa.int64()))], ["node", "buckets"])
 
-    drawn = rows.select("node", "text").mapInArrow(run, "node binary, buckets array<long>, sketch array<int>")
-    return drawn.groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
-
-
-def _agree(a: str, b: str) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+    drawn = rows.select("node", "text").mapInArrow(run, "node binary, buckets array<long>")
+    return drawn.groupBy("node").agg(F.first("buckets").alias("buckets"))
 
 
 def outside(x: tuple[np.ndarray, np.ndarray], team: tuple[np.ndarray, np.ndarray], idf: np.ndarray, name: bytes, linked: bool) -> tuple[list[int], list[int]]:
@@ -238,10 +236,78 @@ def outside(x: tuple[np.ndarray, np.ndarray], team: tuple[np.ndarray, np.ndarray
     return found + hashing.mix(marks).view(np.int64).tolist(), says + [role for _, role in classes]
 
 
+def forest(sets: list[tuple[np.ndarray, np.ndarray]], labels: list) -> list[tuple[int, int]]:
+    """Links (i, j) of similar sets that join classes which neither the labels nor the links before join."""
+    parent = [labels.index(label) for label in labels]
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    n, links = len(sets), []
+    total = np.array([w.sum() for _, w in sets])
+    _, where, held = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True, return_counts=True)
+    column = np.cumsum(held > 1) - 1  # of the shingles that two or more hold
+    ends = np.cumsum([len(k) for k, _ in sets])
+    width, shared = int(column[-1]) + 1, np.zeros((n, n))
+    step = max(1, BLOCK // n)
+    for low in range(0, width, step):
+        part = np.zeros((n, min(step, width - low)))
+        for i, (_, weights) in enumerate(sets):
+            own = where[ends[i] - len(weights) : ends[i]]
+            inside = (held[own] > 1) & (column[own] >= low) & (column[own] < low + part.shape[1])
+            part[i, column[own[inside]] - low] = weights[inside]
+        for i in range(n - 1):
+            shared[i, i + 1 :] += np.minimum(part[i], part[i + 1 :]).sum(1)
+    alike = shared >= SIMILARITY * (total[:, None] + total - shared)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike, 1)))):
+        if root(i) != root(j):
+            parent[root(j)] = root(i)
+            links.append((i, j))
+    return links
+
+
+def within(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b): links that join the classes of each group's (gid, node, label); a group holds at most SMALL."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    dealt = members.join(texts, "node").select("gid", "node", "label", "text").repartition("gid").sortWithinPartitions("gid", "node")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
+        """Whole groups, some at a time."""
+        done, last, size = [], None, 0
+        for batch in batches:
+            for gid, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if gid != last:
+                    if size >= hashing.GROUP_BYTES:
+                        yield done
+                        done, size = [], 0
+                    done.append([])
+                    last = gid
+                data = _bytes(rest[2])
+                done[-1].append((rest[0], rest[1], data))
+                size += len(data)
+        if done:
+            yield done
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.astype(np.float64)
+        for groups in gathered(batches):
+            found = hashing.shingles([m[2] for g in groups for m in g])
+            links = []
+            for group in groups:
+                sets = [counted(next(found), weights) for _ in group]
+                links += [(group[i][0], group[j][0]) for i, j in forest(sets, [m[1] for m in group])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def teams(chosen: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(a, team_keys, team_weights): by hub the shingles that two or more of its at most TEAM chosen members hold."""
+    """(cluster, team_keys, team_weights): the shingles that two or more of a cluster's at most TEAM chosen members hold."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    held = chosen.join(texts, "node").groupBy("hub").agg(F.collect_list("text").alias("texts"))
+    held = chosen.join(texts, "node").groupBy("cluster").agg(F.collect_list("text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.astype(np.float64)
@@ -255,73 +321,69 @@ def teams(chosen: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 keys.append(every[held > 1].view(np.int64).tolist())
                 values.append(most[held > 1].tolist())
             arrays = [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "team_keys", "team_weights"])
+            yield pa.RecordBatch.from_arrays(arrays, ["cluster", "team_keys", "team_weights"])
 
-    return held.mapInArrow(run, "a binary, team_keys array<long>, team_weights array<double>")
+    return held.mapInArrow(run, "cluster binary, team_keys array<long>, team_weights array<double>")
 
 
-def verified(pairs: DataFrame, chosen: DataFrame | None, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(a, b, linked, keys, says): whether the texts of nodes a and b are similar; where a is a hub, the keys that :func:`outside`
-    gives for b."""
+def compared(pairs: DataFrame, team: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b, linked, keys, says) of pairs (cluster, a, salt, b, hub, ask): whether the texts of a and b are similar; where
+    ``ask``, the keys that :func:`outside` gives for b.  The text of a and the cluster's shared shingles are sent once for
+    each (a, salt), ahead of its members."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    if chosen is None:
-        both = both.withColumn("team_keys", F.lit(None).cast("array<long>")).withColumn("team_weights", F.lit(None).cast("array<double>"))
-    else:
-        both = both.join(teams(chosen, texts, idf), "a", "left")
+    heads = pairs.groupBy("cluster", "a", "salt").agg(F.max("hub").alias("hub"))
+    about = heads.where("hub").select("cluster", "a").distinct().join(team, "cluster").select("a", "team_keys", "team_weights")
+    heads = heads.join(texts.withColumnRenamed("node", "a"), "a").join(about, "a", "left")
+    heads = heads.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.lit(False).alias("ask"), "text", "team_keys", "team_weights")
+    none = [F.lit(None).cast("array<long>").alias("team_keys"), F.lit(None).cast("array<double>").alias("team_weights")]
+    members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "ask", "text", *none)
+    dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.astype(np.float64)
-        last: tuple = (None, None, None)
+        hub = team = None
         for batch in batches:
-            close, keys, says = [], [], []
-            for i, (a, hub, text_a, text_b) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)))):
-                if last[0] != a:
-                    team = (np.array(batch.column(5)[i].as_py() or [], np.int64).view(np.uint64), np.array(batch.column(6)[i].as_py() or [], np.float64))
-                    last = (a, counted(next(hashing.shingles([_bytes(text_a)])), weights), team)
-                other = counted(next(hashing.shingles([_bytes(text_b)])), weights)
-                close.append(similarity(last[1], other) >= SIMILARITY)
-                found, said = outside(other, last[2], weights, a, close[-1]) if hub else ([], [])
-                keys.append(found)
-                says.append(said)
-            arrays = [batch.column(0), batch.column(1), pa.array(close, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(says, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "linked", "keys", "says"])
-
-    names = ["a", "b", "hub", "text_a", "text_b", "team_keys", "team_weights"]
-    return both.select(names).mapInArrow(run, "a binary, b binary, linked boolean, keys array<long>, says array<tinyint>")
-
-
-def _chosen(groups: DataFrame) -> DataFrame:
-    """(hub, node): for each hub the TEAM most populated members of one of its large groups."""
-    best = F.min(F.struct(-F.col("support"), F.col("node").alias("hub")))
-    sizes = groups.groupBy("gid").agg(F.count("*").alias("n"), best.alias("h")).where(F.col("n") > SMALL)
-    one = sizes.groupBy(F.col("h.hub").alias("hub")).agg(F.max(F.struct("n", "gid"))["gid"].alias("gid"))
-    first = Window.partitionBy("gid").orderBy(F.desc("support"), "node")
-    return groups.join(one, "gid").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= TEAM).select("hub", "node")
-
-
-def _pairs(groups: DataFrame, last: bool, more: bool) -> DataFrame:
-    """(a, b, hub) of groups (gid, node, support, label, sketch): all pairs of small groups, each member of a large one with its
-    hub (as a), with ``more`` also with the others of the TEAM most populated; in the last round all pairs of different
-    classes."""
-    best = F.min(F.struct(-F.col("support"), F.col("node").alias("hub")))
-    sizes = groups.groupBy("gid").agg(F.count("*").alias("n"), best.alias("h")).where("n > 1").select("gid", "n", "h.hub")
-    sized = groups.join(sizes, "gid")
-    small = sized if last else sized.where(F.col("n") <= SMALL)
-    other = small.select("gid", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
-    met = small.withColumnRenamed("node", "a").join(other, "gid").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")))
-    pairs = met.where(_agree("sketch", "sketch_b")).select("a", "b", F.lit(False).alias("hub"))
-    if last:
-        return pairs.distinct()
-    star = sized.where((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hub"))
-    pairs = pairs.unionByName(star)
-    if more:
-        first = Window.partitionBy("gid").orderBy(F.desc("support"), "node")
-        top = sized.where(F.col("n") > SMALL).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= TEAM)
-        top = top.select("gid", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        others = sized.join(top, "gid").where((F.col("label") != F.col("label_a")) & (F.col("node") != F.col("a")))
-        pairs = pairs.unionByName(others.select("a", F.col("node").alias("b"), F.lit(False).alias("hub")))
-    return pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"))
+            names, others = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            asked, cut = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            rows: list[tuple] = []
+            at = 0
+            for group in hashing.groups(((None, _bytes(t)) for t in cut)):
+                for found in hashing.shingles([g[1] for g in group]):
+                    own = counted(found, weights)
+                    if others[at] is None:
+                        hub = own
+                        team = tuple(np.array(batch.column(i)[at].as_py() or [], kind) for i, kind in ((5, np.int64), (6, np.float64)))
+                    else:
+                        linked = similarity(hub, own) >= SIMILARITY
+                        keys, says = outside(own, (team[0].view(np.uint64), team[1]), weights, names[at], linked) if asked[at] else ([], [])
+                        if linked or keys:
+                            rows.append((names[at], others[at], linked, keys, says))
+                    at += 1
+            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "linked", "keys", "says"])
+
+    return dealt.mapInArrow(run, "a binary, b binary, linked boolean, keys array<long>, says array<tinyint>")
+
+
+def clusters(large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(cluster, node) of the at most TEAM members of most groups, and the pairs (cluster, a, salt, b, hub, ask) that a round
+    compares, for large groups (gid, node, label)."""
+    least = large.groupBy("gid").agg(F.min("node").alias("a"))
+    known = components(large.join(least, "gid").select("a", F.col("node").alias("b")))
+    held = large.groupBy("node", "label").agg(F.count("*").alias("support"))
+    members = compact(held.join(known.withColumnRenamed("label", "cluster"), "node"))
+    n_pivots = TEAM << (level - 1) if level else 1
+    first = Window.partitionBy("cluster").orderBy(F.desc("support"), "node")
+    top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(n_pivots, TEAM))
+    top = compact(top.join(members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"))
+    pivots = top.where(F.col("rank") <= n_pivots)
+    ranked = members.join(pivots.select("node", "rank"), "node", "left").select("cluster", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("rank").alias("rank_b"))
+    sides = pivots.select("cluster", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("rank").alias("rank_a"), "n")
+    hub = F.col("rank_a") == 1
+    new = F.col("rank_b").isNull() | (F.col("rank_b") > F.col("rank_a"))
+    salt = F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("n") / SHARE)).cast("long").alias("salt")
+    pairs = ranked.join(sides, "cluster").where(new & (hub | (F.col("label_a") != F.col("label_b"))))
+    return top.where(F.col("rank") <= TEAM).select("cluster", "node"), pairs.select("cluster", "a", salt, "b", hub.alias("hub"), (hub & F.col("rank_b").isNull()).alias("ask"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -330,32 +392,32 @@ def classes(docs: DataFrame) -> DataFrame:
     real = rows.where("text IS NOT NULL")
     idf = idf_table(real)
     drawn = written(sketches(real, idf), "sketches")
-    banded = drawn.select("node", "sketch", F.posexplode("buckets").alias("band", "bucket")).withColumn("gid", F.xxhash64("band", "bucket"))
-    sizes = banded.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
-    members = compact(banded.join(sizes, "gid").select("gid", "node", "sketch", "n"))
-    about = compact(members.groupBy("node").agg(F.sum("n").alias("support"), F.first("sketch").alias("sketch")))
-    texts = written(real.join(about.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    groups = compact(members.select("gid", "node").distinct().join(about, "node").withColumn("label", F.col("node")))
-    links = found = tested = None
-    for level in range(LEVELS + 1):
-        pairs = _pairs(groups, level == LEVELS, level > 0)
-        if tested is not None:
-            # a tested pair isn't made again, but with the hub of a group that is: the member's keys come from it
-            known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known.withColumn("hub", F.lit(False)), ["a", "b", "hub"], "left_anti")
-        checked = compact(verified(compact(pairs), None if level == LEVELS else compact(_chosen(groups)), texts, idf))
-        now = checked.where("linked").select("a", "b")
-        links = now if links is None else links.unionByName(now)
-        found = compact(components(links))
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        keyed = checked.where(F.size("keys") > 0).select(F.col("b").alias("node"), "keys", "says").join(found, "node", "left")
-        each = keyed.select("node", F.coalesce("label", "node").alias("label"), F.explode(F.arrays_zip("keys", "says")).alias("k"))
-        named = each.select(F.xxhash64("k.keys", F.lit(level)).alias("gid"), "node", "label", F.col("k.says").alias("says"))
-        kinds = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("says").alias("least"), F.max("says").alias("most"))
-        open_ = kinds.where(f"x <> y AND (least = {SHINGLE_KEY} OR least < most)").select("gid")
-        groups = compact(named.join(open_, "gid", "left_semi").select("gid", "node", "label").distinct().join(about, "node"))
-        if groups.isEmpty():
+    banded = drawn.select("node", F.posexplode("buckets").alias("band", "bucket")).select(F.xxhash64("band", "bucket").alias("gid"), "node")
+    groups = compact(banded.join(banded.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid"), "gid"))
+    texts = bucketed(real.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
+    found = drawn.select("node", F.col("node").alias("label")).limit(0)
+    level = 0
+    while not groups.isEmpty():
+        named = groups.join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
+        sizes = named.groupBy("gid").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("node")).alias("who"))
+        sizes = sizes.where("n > 1 AND x <> y")
+        once = sizes.where(F.col("n") <= SMALL).groupBy("n", "who").agg(F.min("gid").alias("gid")).select("gid")
+        links = written(within(compact(named.join(once, "gid")), texts, idf), "links")
+        large = compact(named.join(sizes.where(F.col("n") > SMALL).select("gid"), "gid"))
+        last = large.isEmpty()
+        if not last:
+            team, pairs = clusters(large, level)
+            checked = written(compared(compact(pairs), teams(team, texts, idf), texts, idf), "compared")
+            links = links.unionByName(checked.where("linked").select("a", "b"))
+        found = compact(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+        if last:
             break
+        each = checked.where(F.size("keys") > 0).select(F.col("b").alias("node"), F.explode(F.arrays_zip("keys", "says")).alias("k"))
+        keyed = each.join(found, "node", "left").select(F.xxhash64("k.keys", F.lit(level)).alias("gid"), "node", F.coalesce("label", "node").alias("label"), F.col("k.says").alias("says"))
+        kinds = keyed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("says").alias("least"), F.max("says").alias("most"))
+        open_ = kinds.where(f"x <> y AND (least = {SHINGLE_KEY} OR least < most)").select("gid")
+        groups = compact(keyed.join(open_, "gid", "left_semi").select("gid", "node").distinct())
+        level += 1
 
     labelled = rows.select("doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tabloom.llm import components as components_of
 from tabloom.llm import hashing, neardup
 from tabloom.llm.common import table
 from tabloom.llm.components import components
@@ -162,7 +164,10 @@ def test_edges(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_chain_and_a_hub(spark):
+@pytest.mark.parametrize("local", [200_000, 0])
+def test_components_of_a_chain_and_a_hub(spark, monkeypatch, local):
+    """In one task and in rounds."""
+    monkeypatch.setattr(components_of, "LOCAL", local)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
