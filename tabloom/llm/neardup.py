@@ -14,14 +14,15 @@ classes are the connected components of links and equal texts.
    all rows of a band share a bucket; at similarity 0.8 a pair misses every bucket with probability 0.003.
 4. Small groups.  A bucket of up to SMALL members is sent with its texts to one place, once where several buckets have the
    same members, and all its pairs are compared there; what comes out is a spanning forest and no pair.
-5. Large groups.  Larger buckets that share members are one cluster, and clusters are disjoint.  Each has a hub, the member
-   of most buckets, and every other member is compared with it.  Let y be like x, where x isn't linked to the hub, and let T
-   be what at least two of the cluster's TEAM members of most buckets share (nearly all that the cluster has in
-   common).  Either x and y share shingles outside T: then one of the rarest such shingles of each, up to a weight of
-   1 - SIMILARITY of its own.  Or all that they share is in T: then y's weight lies between SIMILARITY of x's and what the
-   weight that x has in T allows.  Every member is put once into new groups by those rarest shingles (a fifth of its own
-   at most) and by its class of weight, where members without a link to the hub look for it.  New groups with different
-   classes go through 4 and 5 again.
+5. Large groups.  Larger buckets that share members are one cluster, and clusters are disjoint.  Each has a hub, of its
+   most numerous class the member of most buckets (in later rounds, the one most like T of the round before), and every member of another class is compared with it.  Let y be like x,
+   where x isn't linked to the hub, and let T be what at least two of the hub and the CORE members after it share (nearly
+   all that the cluster has in common).  Either x and y share shingles outside T: then one of the rarest such shingles
+   of each, up to a weight of 1 - SIMILARITY of its own.  Or all that they share is in T: then y's weight lies between
+   SIMILARITY of x's and what the weight that x has in T allows.  Every member is put once into new groups by those
+   rarest shingles (a fifth of its own at most) and by its class of weight, where members without a link to the hub look
+   for it.  In a class of weight, where one side (who is looked for, or who looks) has at most FEW members, all of the other
+   are compared with them; other new groups go through 4 and 5 again.
 6. The end.  From the second round on, a cluster has TEAM pivots, twice as many each round; they are compared with
    all members in other classes and leave the search, since nothing of theirs is open.  So every round shrinks every
    cluster, the number of rounds grows with the logarithm of the largest, no pair of a bucket is lost, and no round is one of
@@ -39,7 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import hashing
@@ -51,12 +52,14 @@ BANDS, ROWS = 8, 3
 SAMPLES = BANDS * ROWS
 SMALL = 96
 TEAM = 8
+CORE = 32
+FEW = 32
 #: Members of a large cluster that are compared with one copy of the hub's text.
 SHARE = 512
 #: Numbers of a block of the table by which a small group is compared.
 BLOCK = 1 << 20
 #: Classes of weight differ by this factor.
-STEP = 1.05
+STEP = 1.01
 #: What a key says: a shingle, or a class of weight that holds a member or is looked for by one.
 SHINGLE_KEY, HOLDS, SEEKS = 0, 1, 2
 CELLS = 1 << 17
@@ -305,7 +308,7 @@ def within(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def teams(chosen: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(cluster, team_keys, team_weights): the shingles that two or more of a cluster's at most TEAM chosen members hold."""
+    """(cluster, team_keys, team_weights): the shingles that two or more of a cluster's at most CORE chosen members hold."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
     held = chosen.join(texts, "node").groupBy("cluster").agg(F.collect_list("text").alias("texts"))
 
@@ -326,17 +329,21 @@ def teams(chosen: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return held.mapInArrow(run, "cluster binary, team_keys array<long>, team_weights array<double>")
 
 
-def compared(pairs: DataFrame, team: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(a, b, linked, keys, says) of pairs (cluster, a, salt, b, hub, ask): whether the texts of a and b are similar; where
-    ``ask``, the keys that :func:`outside` gives for b.  The text of a and the cluster's shared shingles are sent once for
+def compared(pairs: DataFrame, team: DataFrame | None, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b, linked, keys, says, near) of pairs (cluster, a, salt, b, hub, ask, same): whether the texts of a and b are similar,
+    unless both are of the same class; where ``ask``, the keys that
+    :func:`outside` gives for b and its similarity to the shared shingles.  The text of a and the cluster's shared shingles are sent once for
     each (a, salt), ahead of its members."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
     heads = pairs.groupBy("cluster", "a", "salt").agg(F.max("hub").alias("hub"))
-    about = heads.where("hub").select("cluster", "a").distinct().join(team, "cluster").select("a", "team_keys", "team_weights")
-    heads = heads.join(texts.withColumnRenamed("node", "a"), "a").join(about, "a", "left")
-    heads = heads.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.lit(False).alias("ask"), "text", "team_keys", "team_weights")
     none = [F.lit(None).cast("array<long>").alias("team_keys"), F.lit(None).cast("array<double>").alias("team_weights")]
-    members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "ask", "text", *none)
+    if team is None:
+        heads = heads.join(texts.withColumnRenamed("node", "a"), "a").select("*", *none)
+    else:
+        about = heads.where("hub").select("cluster", "a").distinct().join(team, "cluster").select("a", "team_keys", "team_weights")
+        heads = heads.join(texts.withColumnRenamed("node", "a"), "a").join(about, "a", "left")
+    heads = heads.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.lit(False).alias("ask"), F.lit(False).alias("same"), "text", "team_keys", "team_weights")
+    members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "ask", "same", "text", *none)
     dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +351,7 @@ def compared(pairs: DataFrame, team: DataFrame, texts: DataFrame, idf: np.ndarra
         hub = team = None
         for batch in batches:
             names, others = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            asked, cut = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            asked, same, cut = (batch.column(i).to_pylist() for i in (3, 4, 5))
             rows: list[tuple] = []
             at = 0
             for group in hashing.groups(((None, _bytes(t)) for t in cut)):
@@ -352,38 +359,56 @@ def compared(pairs: DataFrame, team: DataFrame, texts: DataFrame, idf: np.ndarra
                     own = counted(found, weights)
                     if others[at] is None:
                         hub = own
-                        team = tuple(np.array(batch.column(i)[at].as_py() or [], kind) for i, kind in ((5, np.int64), (6, np.float64)))
+                        team = (np.array(batch.column(6)[at].as_py() or [], np.int64).view(np.uint64), np.array(batch.column(7)[at].as_py() or [], np.float64))
                     else:
-                        linked = similarity(hub, own) >= SIMILARITY
-                        keys, says = outside(own, (team[0].view(np.uint64), team[1]), weights, names[at], linked) if asked[at] else ([], [])
+                        linked = same[at] or similarity(hub, own) >= SIMILARITY
+                        keys, says = outside(own, team, weights, names[at], linked) if asked[at] else ([], [])
                         if linked or keys:
-                            rows.append((names[at], others[at], linked, keys, says))
+                            rows.append((names[at], others[at], linked and not same[at], keys, says, similarity(own, team) if keys else 0.0))
                     at += 1
-            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "linked", "keys", "says"])
+            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "linked", "keys", "says", "near"])
 
-    return dealt.mapInArrow(run, "a binary, b binary, linked boolean, keys array<long>, says array<tinyint>")
+    return dealt.mapInArrow(run, "a binary, b binary, linked boolean, keys array<long>, says array<tinyint>, near double")
 
 
 def clusters(large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """(cluster, node) of the at most TEAM members of most groups, and the pairs (cluster, a, salt, b, hub, ask) that a round
-    compares, for large groups (gid, node, label)."""
+    """(cluster, node) of the hub and the CORE members after it, and the pairs (cluster, a, salt, b, hub, ask, same) that a
+    round looks at, for large groups (gid, node, label, near)."""
     least = large.groupBy("gid").agg(F.min("node").alias("a"))
     known = components(large.join(least, "gid").select("a", F.col("node").alias("b")))
-    held = large.groupBy("node", "label").agg(F.count("*").alias("support"))
+    held = large.groupBy("node", "label").agg(F.count("*").alias("support"), F.max("near").alias("near"))
     members = compact(held.join(known.withColumnRenamed("label", "cluster"), "node"))
+    sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most"))
     n_pivots = TEAM << (level - 1) if level else 1
-    first = Window.partitionBy("cluster").orderBy(F.desc("support"), "node")
-    top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(n_pivots, TEAM))
-    top = compact(top.join(members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"))
+    ranked = members.join(most, "cluster").withColumn("main", F.col("label") == F.col("most.label"))
+    first = Window.partitionBy("cluster").orderBy(F.desc("main"), F.desc("near"), F.desc("support"), "node")
+    top = compact(ranked.select("cluster", "node", "label", "near", "support", "n", "main").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(n_pivots, CORE + 1)))
     pivots = top.where(F.col("rank") <= n_pivots)
-    ranked = members.join(pivots.select("node", "rank"), "node", "left").select("cluster", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("rank").alias("rank_b"))
+    others = members.join(pivots.select("node", "rank"), "node", "left").select("cluster", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("rank").alias("rank_b"))
     sides = pivots.select("cluster", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("rank").alias("rank_a"), "n")
-    hub = F.col("rank_a") == 1
+    same, hub = F.col("label_a") == F.col("label_b"), F.col("rank_a") == 1
+    ask = hub & F.col("rank_b").isNull()
     new = F.col("rank_b").isNull() | (F.col("rank_b") > F.col("rank_a"))
-    salt = F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("n") / SHARE)).cast("long").alias("salt")
-    pairs = ranked.join(sides, "cluster").where(new & (hub | (F.col("label_a") != F.col("label_b"))))
-    return top.where(F.col("rank") <= TEAM).select("cluster", "node"), pairs.select("cluster", "a", salt, "b", hub.alias("hub"), (hub & F.col("rank_b").isNull()).alias("ask"))
+    pairs = others.join(sides, "cluster").where(new & (ask | ~same))
+    return top.where(F.col("rank") <= CORE + 1).select("cluster", "node"), pairs.select("cluster", "a", _salt(), "b", hub.alias("hub"), ask.alias("ask"), same.alias("same"))
+
+
+def _salt() -> Column:
+    """The part, of SHARE members or so, in which b is compared with one of n members' hub or pivot."""
+    return F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("n") / SHARE)).cast("long").alias("salt")
+
+
+def sided(keyed: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The pairs, as :func:`clusters` gives them, of classes of weight (in kinds) of which one side has at most FEW members."""
+    few = kinds.where(F.least("holds", "seeks") <= FEW).select("gid", F.when(F.col("holds") <= F.col("seeks"), HOLDS).otherwise(SEEKS).alias("side"), (F.col("holds") + F.col("seeks")).alias("n"))
+    members = keyed.join(few, "gid")
+    one = members.where(F.col("says") == F.col("side")).select("gid", F.col("node").alias("a"), F.col("label").alias("label_a"), "n")
+    other = members.where(F.col("says") != F.col("side")).select("gid", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    met = other.join(one, "gid").where(F.col("label_a") != F.col("label_b")).groupBy("a", "b").agg(F.max("n").alias("n"))
+    no = F.lit(False)
+    return met.select(F.col("a").alias("cluster"), "a", _salt(), "b", no.alias("hub"), no.alias("ask"), no.alias("same"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -393,30 +418,35 @@ def classes(docs: DataFrame) -> DataFrame:
     idf = idf_table(real)
     drawn = written(sketches(real, idf), "sketches")
     banded = drawn.select("node", F.posexplode("buckets").alias("band", "bucket")).select(F.xxhash64("band", "bucket").alias("gid"), "node")
-    groups = compact(banded.join(banded.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid"), "gid"))
+    groups = compact(banded.join(banded.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid"), "gid").withColumn("near", F.lit(0.0)))
     texts = bucketed(real.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
     found = drawn.select("node", F.col("node").alias("label")).limit(0)
-    level = 0
-    while not groups.isEmpty():
-        named = groups.join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
+    level, direct = 0, None
+    while direct or not groups.isEmpty():
+        named = groups.join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"), "near")
         sizes = named.groupBy("gid").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("node")).alias("who"))
         sizes = sizes.where("n > 1 AND x <> y")
         once = sizes.where(F.col("n") <= SMALL).groupBy("n", "who").agg(F.min("gid").alias("gid")).select("gid")
         links = written(within(compact(named.join(once, "gid")), texts, idf), "links")
         large = compact(named.join(sizes.where(F.col("n") > SMALL).select("gid"), "gid"))
-        last = large.isEmpty()
-        if not last:
-            team, pairs = clusters(large, level)
-            checked = written(compared(compact(pairs), teams(team, texts, idf), texts, idf), "compared")
+        team, pairs = (None, direct) if large.isEmpty() else clusters(large, level)
+        checked = None
+        if pairs:
+            pairs = compact(pairs if pairs is direct or not direct else pairs.unionByName(direct))
+            checked = written(compared(pairs, team and teams(team, texts, idf), texts, idf), "compared")
             links = links.unionByName(checked.where("linked").select("a", "b"))
         found = compact(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))))
-        if last:
+        if not team:
             break
-        each = checked.where(F.size("keys") > 0).select(F.col("b").alias("node"), F.explode(F.arrays_zip("keys", "says")).alias("k"))
-        keyed = each.join(found, "node", "left").select(F.xxhash64("k.keys", F.lit(level)).alias("gid"), "node", F.coalesce("label", "node").alias("label"), F.col("k.says").alias("says"))
-        kinds = keyed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("says").alias("least"), F.max("says").alias("most"))
-        open_ = kinds.where(f"x <> y AND (least = {SHINGLE_KEY} OR least < most)").select("gid")
-        groups = compact(keyed.join(open_, "gid", "left_semi").select("gid", "node").distinct())
+        each = checked.where(F.size("keys") > 0).select(F.col("b").alias("node"), "near", F.explode(F.arrays_zip("keys", "says")).alias("k"))
+        keyed = compact(each.join(found, "node", "left").select(F.xxhash64("k.keys", F.lit(level)).alias("gid"), "node", F.coalesce("label", "node").alias("label"), "near", F.col("k.says").alias("says")))
+        holds, seeks = (F.count_if(F.col("says") == side).alias(name) for side, name in ((HOLDS, "holds"), (SEEKS, "seeks")))
+        kinds = keyed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("says").alias("least"), holds, seeks)
+        kinds = compact(kinds.where(f"x <> y AND (least = {SHINGLE_KEY} OR (holds > 0 AND seeks > 0))"))
+        direct = compact(sided(keyed, kinds.where(F.col("least") != SHINGLE_KEY)))
+        direct = None if direct.isEmpty() else direct
+        open_ = kinds.where((F.col("least") == SHINGLE_KEY) | (F.least("holds", "seeks") > FEW)).select("gid")
+        groups = compact(keyed.join(open_, "gid", "left_semi").select("gid", "node", "near").distinct())
         level += 1
 
     labelled = rows.select("doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
