@@ -85,9 +85,9 @@ OP7_MEASURES_SQL = r"""
 texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
 starts AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i FROM texts WHERE len(w) >= 8),
-windows AS (SELECT s.doc_id, i, w[i:i + 7] AS window FROM starts s JOIN texts USING (doc_id)),
-twice AS (SELECT doc_id, window FROM windows GROUP BY ALL HAVING count(*) > 1),
-covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at FROM windows SEMI JOIN twice USING (doc_id, window)),
+eights AS (SELECT s.doc_id, i, w[i:i + 7] AS eight FROM starts s JOIN texts USING (doc_id)),
+twice AS (SELECT doc_id, eight FROM eights GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at FROM eights SEMI JOIN twice USING (doc_id, eight)),
 repeats AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
 measures AS (
   SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_aggregate(w, 'string_agg', '')) AS BIGINT) AS chars,
