@@ -10,8 +10,8 @@ Scale: proper prefixes are made distinct and copies are merged by aggregates tha
 snapshot or first turn shared by a third of all conversations is one row a task in the joins.  The running window holds
 two numbers; texts are gathered by conversation only to render it.
 
-Defined results: turns are ordered by (turn, role, the text's first 64 characters, its digest),
-nulls first, and repeated rows count as turns; rows with a
+Defined results: turns are ordered by (turn, role, text), nulls first, and repeated rows count as turns; one conversation of
+any length is ordered by one task, and rendered by one; rows with a
 null conv_id form one conversation; a null role is rendered as ``unknown`` and differs from every role, a null text is
 rendered empty and differs from the empty text; an empty table gives no rows; other columns aren't read.
 """
@@ -37,9 +37,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, k, n, a, b): the hash of the first k of the conversation's n turns."""
     rows = turns.select("conv_id", F.col("turn"), F.col("role").cast("string"), F.col("text").cast("string"))
     body = F.sha2(F.concat(_marked("role"), _marked("text")), 256)
-    small = rows.select("conv_id", "turn", "role", F.substring("text", 1, 64).alias("head"), body.alias("body"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "head", "body")
-    placed = small.select("conv_id", "turn", "role", "head", "body", F.row_number().over(order).alias("k"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.withColumn("body", body).select("conv_id", "body", F.row_number().over(order).alias("k"))
     digest = placed.select("conv_id", "k", F.sha2(F.concat_ws("|", F.col("k").cast("string"), "body"), 256).alias("digest"))
     along = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("conv_id")
@@ -66,6 +65,6 @@ def render(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"))
     said = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("__kept")))
     line = F.concat(F.lit(START), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(END + "\n"))
-    turn = F.struct("turn", "role", F.substring("text", 1, 64).alias("head"), F.sha2(F.concat(_marked("role"), _marked("text")), 256).alias("body"), line.alias("line"))
+    turn = F.struct("turn", "role", "text", line.alias("line"))
     grouped = said.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_list(turn)).alias("turns"))
     return grouped.select("conv_id", "n_turns", "n_copies", F.concat_ws("", F.col("turns.line")).alias("chat"))
