@@ -22,7 +22,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,44 @@ def byte_symbols() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
+#: Characters below this are of one kind and have one normalised form in all versions of Unicode in use.
+SETTLED = 0x250
+#: Code points outside these ranges are unassigned or private in every version of Unicode so far.
+ASSIGNED = ((SETTLED, 0xD800), (0xE000, 0x33480), (0xE0000, 0xE0200))
+#: A character of each kind that the words' patterns tell apart, which none of them names itself.
+STAND_INS = {r"\p{L}": "ü", r"\p{N}": "7", r"\s": " ", "": "!"}
+#: Surroundings in which a character's normalised form shows.
+SURROUNDINGS = ("{}", "a{}\u0323", "{}\u0301")
+
+
+def settled(text: str) -> bool:
+    """Whether a text has only characters below SETTLED."""
+    return text.isascii() or int(np.frombuffer(text.encode("utf-16-le"), "<u2").max()) < SETTLED
+
+
+def odd_characters(normaliser, normalise: Callable[[str], str]) -> dict[str, str]:
+    """Characters that the library's tables and Python's tell apart, by kind or by normalised form, each with a stand-in of
+    the library's kind; found over all code points from what the library makes of them."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    every = [chr(i) for low, high in ASSIGNED for i in range(low, high)]
+    text, kind, odd = "".join(every), np.full(len(every), "", object), np.zeros(len(every), bool)
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        inside = np.ones(len(every), bool)
+        for _, (low, high) in Split(Regex(name), "removed").pre_tokenize_str(text):
+            inside[low:high] = False
+        own = regex.compile(name.replace(r"\s", r"\p{White_Space}"))
+        odd |= inside != np.fromiter((own.match(c) is not None for c in every), bool, len(every))
+        kind[inside] = name
+    shown = np.flatnonzero(kind != r"\s")  # white space only parts words
+    for around in SURROUNDINGS if normaliser else ():
+        whole = "0".join(around.format(every[i]) for i in shown)
+        found, expected = normaliser.normalize_str(whole).split("0"), normalise(whole).split("0")
+        odd[shown] |= np.fromiter((a != b for a, b in zip(found, expected, strict=True)), bool, len(shown))
+    return {every[i]: STAND_INS[kind[i]] for i in np.flatnonzero(odd)}
+
+
 class BpeModel:
     """One vocabulary file, read once a worker (see :func:`load`)."""
 
@@ -70,6 +108,7 @@ class BpeModel:
         self.size = 1 + max([*self.vocab.values(), *self.specials.values()])
         steps = spec.get("normalizer") or {}
         self.normal = [s["type"] for s in steps.get("normalizers", [steps] if steps else [])]
+        self.path = path
         self.words = regex.compile(self._pattern(spec["pre_tokenizer"]))
         at = "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))
         self.cut = regex.compile(f"({at})") if at else None
@@ -94,7 +133,36 @@ class BpeModel:
         inside = found.replace(r"[^\s", r"[^\p{White_Space}")
         return inside.replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})")
 
+    @cached_property
+    def normaliser(self):
+        """The library's own, for texts with characters on which Python's differs."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).normalizer
+
+    @cached_property
+    def odd(self) -> dict[int, str]:
+        return str.maketrans(odd_characters(self.normaliser, self._normalised))
+
+    @cached_property
+    def _odd_set(self) -> frozenset[str]:
+        return frozenset(map(chr, self.odd))
+
+    def is_odd(self, text: str) -> bool:
+        return not (settled(text) or self._odd_set.isdisjoint(text))
+
     def normalise(self, text: str) -> str:
+        if self.normal and self.is_odd(text):
+            return self.normaliser.normalize_str(text)
+        return self._normalised(text)
+
+    def split(self, text: str) -> list[str]:
+        """The words of a normalised text, as the library cuts it."""
+        if self.is_odd(text):
+            return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.odd))]
+        return self.words.findall(text)
+
+    def _normalised(self, text: str) -> str:
         if "NFC" in self.normal and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if "Lowercase" in self.normal:  # by single characters: a capital sigma never becomes a final one
@@ -112,7 +180,7 @@ class BpeModel:
     def stretches(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
         """(special string or None, words): the text in order."""
         for mark, part in self.parts(text):
-            yield mark, self.words.findall(part)
+            yield mark, self.split(part)
 
     def merge(self, word: str) -> list[str]:
         """The word's pieces, as the vocabulary writes them."""
@@ -256,7 +324,7 @@ class RankWords:
                     out.append(self.special(model.specials[mark]))
                     continue
                 if self.marked:
-                    part = " ".join(model.words.findall(part)) + " "
+                    part = " ".join(model.split(part)) + " "
                 found = self.library.encode_to_numpy(part, disallowed_special=())
                 out.append(self.ids[found].tobytes())
             yield out[0] if len(out) == 1 else b"".join(out)
