@@ -2,19 +2,19 @@
 
 A fixed public vocabulary gives the pieces.  Each language has a probability for every piece, and a word's probability
 is the sum over all ways to cut it into pieces, found by the forward algorithm; a text's is the product over its
-words (lower-cased runs of letters after a word mark, cut every MAX_WORD letters).  Words are scored once a worker's
-cache, all missing words of a batch in step.
+words (lower-cased runs of letters of any length after a word mark).  Words are scored once a worker's cache, all
+missing words of a batch in step; sums over words of over PLAIN letters are kept as logarithms, so none underflows.
 
 Training: words are counted by language over all rows given; each distinct word of a task gets its expected piece
 counts by forward and backward sums with all pieces equally likely, and tasks add up counts by (language, piece), at
-most the vocabulary's size a language each.  The model on the driver is a matrix of that bound; MAX_LANGUAGES guards
-it.
+most the vocabulary's size a language each.  The model is a matrix of the vocabulary by the languages learned, on
+the driver and in workers; words are scored in blocks of TABLE numbers, however long they are and however many languages.
 
 Score: the best language's share after softmax over the languages' mean log-probabilities a word, sharpened by
 min(words, SHARP) so that short texts stay unsure.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from, all are
-``und``; rows without a language train nothing; equal texts get equal results; other columns aren't read.
+``und``; of languages with equal scores the alphabetically first is given; rows without a language train nothing; equal texts get equal results; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MAX_WORD = 24
-MAX_LANGUAGES = 1000
+#: Words of more letters are summed by logarithms.
+PLAIN = 24
+#: Numbers of a table of forward sums, unless a single word's is larger.
+TABLE = 1 << 21
 SMOOTHING = 0.1
 SHARP = 8
 CACHE_WORDS = 400_000
@@ -56,11 +58,8 @@ def pieces(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words of at most MAX_WORD letters."""
-    words = LETTERS.findall(text.lower())
-    if max(map(len, words), default=0) > MAX_WORD:
-        words = [word[i : i + MAX_WORD] for word in words for i in range(0, len(word), MAX_WORD)]
-    return words
+    """Lower-cased words."""
+    return LETTERS.findall(text.lower())
 
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -129,13 +128,15 @@ def lattice(words: list[str], path: str) -> list[tuple[int, int, np.ndarray, np.
     return sorted(found, key=lambda x: x[:2])
 
 
-def by_length(words) -> Iterator[list[str]]:
+def by_length(words, width: int = 1) -> Iterator[list[str]]:
+    """Words of one length together, as many as a table with ``width`` numbers a letter and word holds."""
     groups: dict[int, list[str]] = {}
     for w in words:
         groups.setdefault(len(w), []).append(w)
-    for group in groups.values():
-        for at in range(0, len(group), 20_000):
-            yield group[at : at + 20_000]
+    for n, group in groups.items():
+        rows = max(1, TABLE // ((n + 2) * max(1, width)))
+        for at in range(0, len(group), rows):
+            yield group[at : at + rows]
 
 
 def expected_counts(counts: dict[str, float], path: str) -> np.ndarray:
@@ -145,13 +146,26 @@ def expected_counts(counts: dict[str, float], path: str) -> np.ndarray:
     for group in by_length(counts):
         steps = lattice(group, path)
         n, rows = len(group[0]) + 1, len(group)
+        number = np.array([counts[w] for w in group], float)
+        if n > PLAIN + 1:
+            cost = np.log(weight)
+            forward, backward = np.full((n + 1, rows), -np.inf), np.full((n + 1, rows), -np.inf)
+            forward[0] = backward[n] = 0.0
+            for end, size, hit, _ in steps:
+                forward[end, hit] = np.logaddexp(forward[end, hit], forward[end - size, hit] + cost)
+            for end, size, hit, _ in reversed(steps):
+                backward[end - size, hit] = np.logaddexp(backward[end - size, hit], backward[end, hit] + cost)
+            for end, size, hit, piece in steps:
+                share = np.exp(forward[end - size, hit] + backward[end, hit] + cost - forward[n, hit])
+                total += np.bincount(piece, share * number[hit], len(total))
+            continue
         forward, backward = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
         forward[0] = backward[n] = 1.0
         for end, size, hit, _ in steps:
             forward[end, hit] += forward[end - size, hit] * weight
         for end, size, hit, _ in reversed(steps):
             backward[end - size, hit] += backward[end, hit] * weight
-        scale = np.array([counts[w] for w in group]) / forward[n]
+        scale = number / forward[n]
         for end, size, hit, piece in steps:
             total += np.bincount(piece, forward[end - size, hit] * backward[end, hit] * scale[hit] * weight, len(total))
     return total
@@ -171,18 +185,29 @@ class Model:
         """Scores words that the cache lacks: the logarithm of the sum over their segmentations, by language."""
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
-        for group in by_length(words - self.cache.keys()):
-            n = len(group[0]) + 1
-            forward = np.zeros((n + 1, len(group), len(self.languages)))
-            forward[0] = 1.0
-            for end, size, hit, piece in lattice(group, self.path):
-                forward[end, hit] += forward[end - size, hit] * self.probability[piece]
+        for group in by_length(words - self.cache.keys(), len(self.languages)):
+            scores = self._summed(group)
             at = len(self.cache)
             while at + len(group) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at : at + len(group)] = np.log(forward[n])
+            self.scores[at : at + len(group)] = scores
             self.cache.update(zip(group, range(at, at + len(group))))
 
+    def _summed(self, group: list[str]) -> np.ndarray:
+        """The logarithm of each word's probability by language."""
+        n = len(group[0]) + 1
+        if n > PLAIN + 1:
+            forward = np.full((n + 1, len(group), len(self.languages)), -np.inf)
+            forward[0] = 0.0
+            for end, size, hit, piece in lattice(group, self.path):
+                forward[end, hit] = np.logaddexp(forward[end, hit], forward[end - size, hit] + np.log(self.probability[piece]))
+            return forward[n]
+        forward = np.zeros((n + 1, len(group), len(self.languages)))
+        forward[0] = 1.0
+        for end, size, hit, piece in lattice(group, self.path):
+            forward[end, hit] += forward[end - size, hit] * self.probability[piece]
+        return np.log(forward[n])
+
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         for at in range(0, len(texts), 500):
             cut = [words_of(t or "") for t in texts[at : at + 500]]
@@ -224,9 +249,7 @@ def train(rows: DataFrame, path: str) -> Model:
 
     known = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
     summed = known.mapInArrow(run, "lang string, piece int, millionths long").groupBy("lang", "piece").agg(F.sum("millionths").alias("n"))
-    found = summed.groupBy("lang").agg(F.collect_list(F.struct("piece", "n")).alias("counts")).limit(MAX_LANGUAGES + 1).toArrow()
-    if found.num_rows > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = summed.groupBy("lang").agg(F.collect_list(F.struct("piece", "n")).alias("counts")).toArrow()
     by_lang = {r["lang"]: r["counts"] for r in found.to_pylist()}
     languages = sorted(by_lang)
     counts = np.zeros((len(pieces(path)) + 1, len(languages)))

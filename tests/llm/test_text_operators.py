@@ -55,6 +55,29 @@ def test_encode_as_the_library(docs, texts, name):
         assert r.ids == lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_script_as_the_library(name):
+    """Characters on which the library's tables differ from Python's, their neighbours and others, on both encoders."""
+    path, lib = bpe.vocabulary_path(name), library(name)
+    model, ranked = bpe.load(path), bpe.rank_words(path, 4)
+    near = {i + d for i in model.odd for d in (-1, 0, 1)} | {*range(0, 0xD800, 7), *range(0xE000, 0x33480, 997)}
+    chars = [chr(i) for i in sorted(near) if not 0xD800 <= i < 0xE000]
+    for form in ("a{}b", "{}", "x {}\u0323{}'s 1{}"):
+        texts = [" ".join(form.replace("{}", c) for c in chars[at : at + 100]) for at in range(0, len(chars), 100)]
+        expected = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [model.encode(t) for t in texts] == expected
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in ranked.encode(texts)] == expected
+
+
+def test_words_around_the_length_for_the_heap():
+    rng = np.random.default_rng(2)
+    model, lib = bpe.load(bpe.vocabulary_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    for n in (bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 700):
+        for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz"):
+            word = "".join(rng.choice([*letters], n))
+            assert model.ids(word) == lib.encode(word, add_special_tokens=False).ids
+
+
 def test_round_trip_and_digests(spark, docs, texts):
     path = bpe.vocabulary_path("byte_bpe_50k.json")
     lib = library("byte_bpe_50k.json")
@@ -271,3 +294,20 @@ def test_language_edges(spark, docs):
     kept = language.keep_known(clash, model)
     assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [4]
     assert language.keep_known(clash, none).count() == 4
+
+
+def test_long_words_by_logarithms(monkeypatch):
+    """The sums over segmentations are the same numbers as logarithms, and no word is too long for them."""
+    path = bpe.vocabulary_path("piece_bpe_32k.model")
+    words = {"a": 2.0, "thereabouts": 1.0, "überraschung": 3.0, "x" * 20: 1.0}
+    plain = language.expected_counts(words, path)
+    rng = np.random.default_rng(1)
+    model = language.Model(path, ["de", "en"], rng.uniform(0, 9, (len(language.pieces(path)) + 1, 2)))
+    scores = [model._summed([w]) for w in words]
+    monkeypatch.setattr(language, "PLAIN", 0)
+    assert np.allclose(language.expected_counts(words, path), plain)
+    assert all(np.allclose(model._summed([w]), s) for w, s in zip(words, scores))
+    endless = "ab" * 3000
+    assert np.isfinite(model._summed([endless])).all() and np.isclose(language.expected_counts({endless: 1.0}, path).sum(), 3000, rtol=1)
+    same = language.Model(path, ["aa", "bb"], np.ones((len(language.pieces(path)) + 1, 2)))
+    assert [*same.predict(["some words", "some words", "12"])] == [("aa", 0.5), ("aa", 0.5), ("und", 0.0)]
