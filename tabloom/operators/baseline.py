@@ -49,3 +49,14 @@ class IndependentBaseline:
             keep = normal.uniform(self.seed + 1, F.col(order), c.name) >= c.missing_rate
             made = made.withColumn(c.name, F.when(keep, col(c.name)))
         return made.select(order, *[col(c) for c in self.schema.order])
+
+    def to_dict(self) -> dict:
+        """All but the observed cells, which are stored as a table beside it."""
+        return {"model": self.name, "seed": self.seed, "schema": self.schema.to_dict(), "order": self.order, "strategy": self.strategy, "whole": self.whole}
+
+    @classmethod
+    def from_dict(cls, data: dict, df: DataFrame) -> IndependentBaseline:
+        model = cls(data["seed"])
+        model.df, model.schema, model.order = df, Schema.from_dict(data["schema"]), data["order"]
+        model.strategy, model.whole = data["strategy"], data["whole"]
+        return model

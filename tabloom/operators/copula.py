@@ -21,7 +21,7 @@ from tabloom.functions import normal
 from tabloom.functions.scalars import MISSING, col, half_even, pick_interval, snap, to_double
 from tabloom.operators import mixed
 from tabloom.operators.profile import Schema
-from tabloom.plans.ordering import running
+from tabloom.plans.ordering import numbered, running
 from tabloom.session import checkpoint
 
 #: Fixed value: supports of more distinct numbers are not snapped to.
@@ -84,6 +84,28 @@ def quantile4(u: Column, values: Sequence[float]) -> Column:
     return F.when(u.isNotNull(), a + (h - low) * (b - a))
 
 
+def quantiles4(asked: DataFrame, u: str, source: DataFrame, value: str, order: str) -> DataFrame:
+    """asked with ``value``: the same at each row's ``u`` for the distribution of a source column of any size, whose numbered
+    values are joined by their place."""
+    known = source.where(col(value).isNotNull()).select(col(value).cast("double").alias("__v"), col(order).alias("__tie"))
+    placed = numbered(known, "__v", "__rn", ties=["__tie"]).select("__rn", "__v")
+    total = known.agg(F.count("*").alias("__n"))
+    h = F.least(F.col("__n").cast("double"), F.greatest(F.lit(1.0), F.col(u) * F.col("__n")))
+    at = asked.crossJoin(F.broadcast(total)).withColumn("__h", h).withColumn("__low", F.floor("__h").cast("long")).withColumn("__high", F.least(F.col("__low") + 1, F.col("__n")))
+    for place, cell in (("__low", "__a"), ("__high", "__b")):
+        at = at.join(placed.select(F.col("__rn").alias(place), F.col("__v").alias(cell)), place, "left")
+    return at.withColumn("value", F.col("__a") + (F.col("__h") - F.col("__low")) * (F.col("__b") - F.col("__a"))).select(*[col(c) for c in asked.columns], "value")
+
+
+def constant_cells(rows: DataFrame, marginal: Marginal, name: str, n: int, order: str, seed: int) -> DataFrame:
+    """rows (``n`` of them) with the constant's value; exactly round(rate * n) seeded cells are missing."""
+    gone = round(marginal.missing_rate * n)
+    if not 0 < gone < n:
+        return rows.withColumn(name, F.lit(marginal.values[0] if gone <= 0 else None).cast("string"))
+    drawn = rows.withColumn("__u", normal.uniform(seed, F.col(order), marginal.name))
+    return numbered(drawn, "__u", "__place", ties=[order]).withColumn(name, F.when(F.col("__place") > gone, F.lit(marginal.values[0]).cast("string"))).drop("__u", "__place")
+
+
 def regularised(matrix: np.ndarray) -> np.ndarray:
     """The nearest usable correlation matrix: no NaN, symmetric, eigenvalues of FLOOR or more, a diagonal of ones."""
     if matrix.size == 0:
@@ -206,17 +228,15 @@ class GaussianCopula:
         drawn = drawn.withColumns({f"__u{i}": normal.distribution(F.col(f"__x{i}")) for i in range(k)})
         made = cells(drawn, self.marginals, [f"__u{i}" for i in range(k)], [f"__c{i}" for i in range(k)])
         at = {m.name: f"__c{i}" for i, m in enumerate(self.marginals)}
+        for i, (name, m) in enumerate(self.constants.items()):
+            made, at[name] = constant_cells(made, m, f"__k{i}", rows, order, self.seed), f"__k{i}"
         out = []
         for c in self.schema.columns:
             if c.name in self.encodings:
                 e = self.encodings[c.name]
                 made_cell = mixed.restore(F.col(at[e.value_column]), F.col(at[e.state_column]), e)
-            elif c.name in at:
-                made_cell = F.col(at[c.name])
             else:
-                m = self.constants[c.name]
-                u = normal.uniform(self.seed, F.col(order), c.name)
-                made_cell = F.when(u >= m.missing_rate, F.lit(m.values[0]))
+                made_cell = F.col(at[c.name])
             out.append(made_cell.cast(self.schema.types.get(c.name, "string") if c.kind != "constant" and c.name not in self.encodings else "string").alias(c.name))
         return made.select(F.col(order), *out)
 

@@ -218,7 +218,7 @@ def repair_to_size(df: DataFrame, constraints: Constraints, order: str, sample:
             break
         more = repair(sample(rows - n, attempt + 1), constraints, order)
         top = kept.agg(F.coalesce(F.max(col(order)), F.lit(-1))).first()[0]
-        kept = kept.unionByName(more.withColumn(order, col(order) + F.lit(top + 1))).orderBy(col(order)).limit(rows)
+        kept = numbered(kept.unionByName(more.withColumn(order, col(order) + F.lit(top + 1))), order, "__at").where(F.col("__at") <= rows).drop("__at")
     return kept
 
 

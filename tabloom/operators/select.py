@@ -11,6 +11,7 @@ from tabloom.functions import normal
 from tabloom.functions.scalars import col, missingness, normalised
 from tabloom.operators import mixed
 from tabloom.operators.profile import LOW, Schema
+from tabloom.plans.ordering import numbered
 
 MISSINGNESS_WEIGHT = 0.35
 DEFICIT_BIAS = 1.5
@@ -70,7 +71,7 @@ def balanced(pool: DataFrame, real: DataFrame, schema: Schema, order: str, rows:
     found = features(schema, most, missing_weight)
     n = pool.count()
     if n <= rows or not found:
-        return pool.orderBy(col(order)).limit(rows)
+        return first_rows(pool, order, rows)
     excess = n - rows
     ours = long_features(pool, order, found)
     scores = value_scores(long_features(real, order, found), ours, bias)
@@ -100,11 +101,16 @@ def balanced(pool: DataFrame, real: DataFrame, schema: Schema, order: str, rows:
     return pool.join(dropped, col(order) == F.col("ord"), "left_anti")
 
 
+def first_rows(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """The first rows by a numeric order, in parallel, however many: a limit would gather them in one task."""
+    return numbered(df, order, "__at").where(F.col("__at") <= rows).drop("__at")
+
+
 def select_rows(pool: DataFrame, real: DataFrame, schema: Schema, order: str, rows: int, strategy: str = "head", **options) -> DataFrame:
     """``head``: the first rows in order; ``balanced``: see there; anything else is an error."""
     kind = (strategy or "head").lower()
     if kind == "head":
-        return pool.orderBy(col(order)).limit(rows)
+        return first_rows(pool, order, rows)
     if kind != "balanced":
         raise ValueError(f"Unknown selection strategy: {strategy}")
     return balanced(pool, real, schema, order, rows, **options)

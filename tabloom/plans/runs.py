@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalars import col
 from tabloom.operators import privacy, rules, validate
 from tabloom.operators.profile import Schema, distinct_rows, infer_schema
-from tabloom.operators.select import DEFICIT_BIAS, MISSINGNESS_WEIGHT, select_rows
+from tabloom.operators.select import DEFICIT_BIAS, MISSINGNESS_WEIGHT, first_rows, select_rows
 from tabloom.plans import clinical
 from tabloom.session import checkpoint, session
 from tabloom.sources import tables
 from tabloom.sources.tables import ROW
 
 ATTEMPTS, OVERSAMPLE = 4, 1.1
+#: The default share of an excess of filled cells that post-processing removes.
+STRENGTH = 0.05
 
 
 def generate(spark: SparkSession, model, real: DataFrame, schema: Schema, constraints: rules.Constraints, rows: int, repair: bool = True, privacy_filter: bool = True, min_distance: float = 0.0, min_distance_quantile: float | None = None, oversample: float = OVERSAMPLE, attempts: int = ATTEMPTS, strategy: str = "head", order: str = ROW, most: int = 12, missing_weight: float = MISSINGNESS_WEIGHT, bias: float = DEFICIT_BIAS, seed: int | None = 42) -> DataFrame:
@@ -43,7 +45,7 @@ def generate(spark: SparkSession, model, real: DataFrame, schema: Schema, constr
         kept = checkpoint(select_rows(pool, real, schema, order, rows, strategy, **options))
     if kept is None:
         raise ValueError("at least one attempt is needed")
-    return kept.orderBy(col(order)).limit(rows).select(order, *[col(c) for c in schema.order])
+    return first_rows(kept, order, rows).select(order, *[col(c) for c in schema.order])
 
 
 def model_names(config: dict) -> list[str]:
@@ -67,9 +69,8 @@ def train(spark: SparkSession, source: str, config: dict, out: str) -> dict[str,
     found = {}
     for name in model_names(config):
         model = tables.create_model(name, config.get("seed", 42)).fit(real, schema, ROW, tables.model_config(config, name))
-        if hasattr(model, "to_dict"):
-            found[name] = f"{out}/{name}.json"
-            tables.save_model(model, found[name])
+        found[name] = f"{out}/{name}.json"
+        tables.save_model(model, found[name])
     tables.write_json({"models": found, "rows": schema.row_count, "columns": len(schema.columns)}, f"{out}/training_summary.json")
     return found
 
@@ -110,19 +111,19 @@ def run(spark: SparkSession, source: str, config: dict, out: str | None = None)
     for name in model_names(config):
         own = tables.model_config(config, name)
         model = tables.create_model(name, config.get("seed", 42)).fit(real, schema, ROW, own)
-        if hasattr(model, "to_dict"):
-            tables.save_model(model, f"{out}/{name}.json")
+        tables.save_model(model, f"{out}/{name}.json")
         made = generate(spark, model, real, schema, _rules(real, schema, own), rows, **_options(own))
         errors[name] = _deliver(made, real, schema, f"{out}/{name}", {"model": name, "seed": model.seed})
     tables.write_json({"errors": errors, "rows": rows}, f"{out}/summary.json")
     return errors
 
 
-def postprocess(spark: SparkSession, source: str, synthetic: str, out: str, strength: float = 0.5, **options) -> dict:
-    """Conditional blanks of a synthetic table brought towards the source's rates, written, checked and noted."""
+def postprocess(spark: SparkSession, source: str, synthetic: str, out: str, strength: float = STRENGTH, mode: str = "fill_missing_datetime", **options) -> dict:
+    """Conditional blanks of a synthetic table brought towards the source's rates, written, checked and noted; ``options`` are
+    those of :func:`rules.soft_align`."""
     real, schema = _load(spark, source)
     syn = checkpoint(tables.read_csv(spark, synthetic))
-    found = clinical.constraints(real, schema, blanks=True)
+    found = clinical.constraints(real, schema, True, mode)
     adjusted, summary = rules.soft_align(syn, real, found, ROW, strength, **options)
     path, errors = tables.write_validated(adjusted, real, schema, out)
     changed = validate.changes(syn, adjusted, ROW, schema.order).first()
@@ -169,7 +170,13 @@ def main(args: Sequence[str] | None = None) -> int:
     parser.add_argument("--out", default="outputs")
     parser.add_argument("--rows", type=int)
     parser.add_argument("--seed", type=int)
-    parser.add_argument("--strength", type=float, default=0.5)
+    parser.add_argument("--strength", type=float, default=STRENGTH)
+    parser.add_argument("--min-excess-rate", type=float, default=0.05, help="post-process only children whose rate exceeds the real one by more")
+    parser.add_argument("--derived-repair-mode", default="fill_missing_datetime")
+    for what in ("parent", "child"):
+        for verb in ("include", "exclude"):
+            parser.add_argument(f"--{verb}-{what}-pattern", action="append", default=[], help="part of a column's name; may be repeated")
+    parser.add_argument("--max-blanks-per-rule", type=int)
     parser.add_argument("--quick", action="store_true")
     got = parser.parse_args(args)
     config = tables.read_config(got.config) if got.config else {}
@@ -183,7 +190,11 @@ def main(args: Sequence[str] | None = None) -> int:
     if got.command == "generate":
         return int(bool(generate_from(spark, got.source, got.artifact, config, got.out, got.rows, got.seed)))
     if got.command == "postprocess":
-        return int(bool(postprocess(spark, got.source, got.synthetic, got.out, got.strength)["errors"]))
+        options = {
+            "least_excess": got.min_excess_rate, "include": got.include_parent_pattern, "exclude": got.exclude_parent_pattern,
+            "include_children": got.include_child_pattern, "exclude_children": got.exclude_child_pattern, "most": got.max_blanks_per_rule,
+        }
+        return int(bool(postprocess(spark, got.source, got.synthetic, got.out, got.strength, got.derived_repair_mode, **options)["errors"]))
     report = precheck(spark, got.source, got.synthetic, config, got.quick)
     tables.write_json(report, str(Path(got.out) / "precheck.json"))
     print(report)

@@ -178,11 +178,13 @@ def anchor_mode(spark, sf_dir):
     return conform.coerce_text(real.withColumn("parent", F.lit(None).cast("string")), real, "parent", "o_orderkey", False)
 
 
-@query("SELECT bool_and(l_quantity BETWEEN 1 AND 50) AS quantities, avg((abs(l_extendedprice - l_extendedprice * 1.0) < 2)::INT) > 0.9 AS near, bool_and(coalesce(l_returnflag IN ('A', 'N', 'R'), false)) AS flags FROM lineitem")
+@query("SELECT bool_and(l_quantity BETWEEN 1 AND 50) AS quantities, avg((abs(l_extendedprice / pow((100 + 10 * l_linenumber) / 100.0::DOUBLE, 2) - given) < 2)::INT) > 0.9 AS near, avg((abs(l_extendedprice / pow((100 + 10 * l_linenumber) / 100.0::DOUBLE, 2) - l_extendedprice) < 2)::INT) > 0.9 AS far, bool_and(coalesce(l_returnflag IN ('A', 'N', 'R'), false)) AS flags FROM (SELECT *, l_extendedprice / pow((100 + 10 * l_linenumber) / 100.0::DOUBLE, 2) * CASE WHEN l_orderkey % 20 = 0 THEN 1.5 ELSE 1.0 END AS given FROM lineitem)")
 def sanity_flags(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    same = validate.plausible_ratio(F.col("l_extendedprice"), F.lit(100.0), F.col("l_extendedprice"))
-    return line.agg(validate.plausible_range(F.col("l_quantity"), 1, 50).alias("quantities"), same.alias("near"), validate.plausible_values(F.col("l_returnflag"), ["A", "N", "R"]).alias("flags"))
+    price, height = F.col("l_extendedprice"), 100 + 10 * F.col("l_linenumber")
+    given = price / F.pow(height / 100.0, F.lit(2.0)) * F.when(F.col("l_orderkey") % 20 == 0, 1.5).otherwise(1.0)  # one order in twenty is off
+    near, far = (validate.plausible_ratio(price, height, actual) for actual in (given, price))
+    return line.agg(validate.plausible_range(F.col("l_quantity"), 1, 50).alias("quantities"), near.alias("near"), far.alias("far"), validate.plausible_values(F.col("l_returnflag"), ["A", "N", "R"]).alias("flags"))
 
 
 @query("SELECT * FROM (VALUES ('Column 1: expected ''n_name'', got ''r_name'''), ('Column 2: expected ''n_regionkey'', got ''x'''), ('Column 0: expected ''n_nationkey'', got ''r_regionkey'''), ('Too few rows: expected at least 25, got 5')) t(error)")

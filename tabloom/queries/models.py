@@ -39,13 +39,13 @@ def latent_categorical(spark, sf_dir):
     return found.select("value", "n", F.round("share", 9).alias("share"), F.round("mid", 9).alias("mid"), F.round(normal.quantile(normal.inside(F.col("mid"))), 9).alias("z"))
 
 
-@query(f"""WITH v AS (SELECT list(c_acctbal ORDER BY c_acctbal) AS a, count(*)::DOUBLE AS n FROM customer WHERE c_custkey <= 200), u AS (SELECT c_custkey, {normal.uniform_sql(3, 'c_custkey', 'q')} AS u FROM customer),
+@query(f"""WITH v AS (SELECT list(c_acctbal ORDER BY c_acctbal) AS a, count(*)::DOUBLE AS n FROM customer), u AS (SELECT c_custkey, {normal.uniform_sql(3, 'c_custkey', 'q')} AS u FROM customer),
   h AS (SELECT c_custkey, a, n, least(n, greatest(1.0::DOUBLE, u * n)) AS h FROM u, v) SELECT c_custkey, round(a[floor(h)::BIGINT] + (h - floor(h)) * (a[least(floor(h) + 1, n)::BIGINT] - a[floor(h)::BIGINT]), 6) AS value FROM h""")
 def quantile_type4(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
-    values = sorted(r[0] for r in customer.where("c_custkey <= 200").select("c_acctbal").collect())
-    u = normal.uniform(3, F.col("c_custkey"), "q")
-    return customer.select("c_custkey", F.round(copula.quantile4(u, values), 6).alias("value"))
+    asked = customer.select("c_custkey", normal.uniform(3, F.col("c_custkey"), "q").alias("u"))
+    found = copula.quantiles4(asked, "u", customer, "c_acctbal", "c_custkey")
+    return found.select("c_custkey", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH s AS (SELECT v, sum(n) OVER (ORDER BY f) / sum(n) OVER () AS hi, (sum(n) OVER (ORDER BY f) - n) / sum(n) OVER () AS lo FROM ({SHARES})), u AS (SELECT c_custkey, {normal.uniform_sql(5, 'c_custkey', 'c')} AS u FROM customer)
@@ -106,10 +106,20 @@ def baseline_uniform(spark, sf_dir):
     return made.select("row_id", F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
-@query(f"SELECT i AS row_id, CASE WHEN {normal.uniform_sql(SEED, 'i', 'r_name')} >= 0.3::DOUBLE THEN 'ASIA' END AS r_name FROM range(500) r(i)")
+@query(f"SELECT i AS row_id, CASE WHEN row_number() OVER (ORDER BY {normal.uniform_sql(SEED, 'i', 'r_name')}, i) > round_even(0.3 * 505, 0) THEN 'ASIA' END AS r_name FROM range(505) r(i)")
 def constant_sample(spark, sf_dir):
-    rows = spark.range(500)
-    return rows.select(F.col("id").alias("row_id"), F.when(normal.uniform(SEED, F.col("id"), "r_name") >= 0.3, F.lit("ASIA")).alias("r_name"))
+    marginal = copula.Marginal("r_name", "constant", 0.3, values=["ASIA"])
+    return copula.constant_cells(spark.range(505).withColumnRenamed("id", "row_id"), marginal, "r_name", 505, "row_id", SEED)
+
+
+@query(f"SELECT i AS row_id, round(CASE WHEN {normal.uniform_sql(SEED + 1, 'i', 'c_acctbal')} >= m THEN lo + {normal.uniform_sql(SEED, 'i', 'c_acctbal')} * (hi - lo) END, 6) AS c_acctbal FROM range(2000) r(i), (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi, (SELECT avg((c_custkey % 4 = 0)::INT) FROM customer) AS m FROM customer WHERE c_custkey % 4 <> 0)")
+def baseline_missing(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("c_acctbal"))
+    schema = profile.infer_schema(df, "c_custkey", ["c_acctbal"])
+    schema.columns[0].kind = "numeric"
+    schema.columns[0].min_value, schema.columns[0].max_value = df.agg(F.min("c_acctbal"), F.max("c_acctbal")).first()
+    made = baseline.IndependentBaseline(SEED).fit(df, schema, "c_custkey", {"numeric_strategy": "uniform"}).sample(spark, 2000, order="row_id")
+    return made.select("row_id", F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
 @query("SELECT o_orderkey, CASE WHEN CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END IS NOT NULL THEN coalesce(list_position(['5-LOW', '1-URGENT', '2-HIGH'], o_orderpriority) - 1, -1)::DOUBLE END AS code FROM orders")

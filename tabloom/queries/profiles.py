@@ -58,6 +58,34 @@ def profile_orders(spark, sf_dir):
     return _flat(profile.profile(table(spark, sf_dir, "orders"), "o_orderkey", ORDERS))
 
 
+LINEITEM = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
+
+
+@query("SELECT name, unique_count, 0.0::DOUBLE AS missing_rate, unique_count BETWEEN 1 AND 12 AS low_cardinality FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS unique_count FROM lineitem" for c in LINEITEM) + ")")
+def profile_lineitem(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").withColumn("line", F.expr("l_orderkey * 16 + l_linenumber"))
+    return profile.profile(line, "line", LINEITEM).select("name", "unique_count", "missing_rate", "low_cardinality")
+
+
+@query("""WITH c AS (SELECT 'c_custkey' AS name, CAST(c_custkey AS VARCHAR) AS v, c_custkey::DOUBLE AS x, c_custkey AS ord FROM customer UNION ALL SELECT 'c_name', c_name, NULL, c_custkey FROM customer
+  UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), c_nationkey, c_custkey FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment, NULL, c_custkey FROM customer),
+  s AS (SELECT *, lag(x) OVER (PARTITION BY name ORDER BY ord) AS p FROM c)
+  SELECT name, count(DISTINCT v)::DOUBLE / count(*) >= 0.98 OR coalesce(bool_and(p IS NULL OR x >= p) AND count(x) = count(*), false) AS id_like FROM s GROUP BY name""")
+def id_like_columns(spark, sf_dir):
+    return profile.profile(table(spark, sf_dir, "customer"), "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).select("name", "id_like")
+
+
+@query("""SELECT event_id, lpad(CAST(least(23, greatest(0, floor(s / 3600)))::INT AS VARCHAR), 2, '0') || ':' || lpad(CAST(least(59, greatest(0, floor((s - floor(s / 3600) * 3600) / 60)))::INT AS VARCHAR), 2, '0') AS hhmm
+  FROM (SELECT event_id, round_even(value * 997.5 - 5000, 0) AS s FROM events)""")
+def seconds_to_hhmm(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", s.seconds_hhmm(F.col("value") * 997.5 - 5000).alias("hhmm"))
+
+
+@query(f"SELECT p_partkey, coalesce(size_text, '__MISSING__') AS token, CASE WHEN size_text IS NULL THEN '__MISSING__' ELSE '__PRESENT__' END AS there FROM ({PART_MIXED_SQL})")
+def missing_tokens(spark, sf_dir):
+    return part_mixed(spark, sf_dir).select("p_partkey", s.normalised(F.col("size_text")).alias("token"), s.missingness(F.col("size_text")).alias("there"))
+
+
 @query(profile_sql(PART_MIXED_SQL, "p_partkey", {c: c for c in PART}))
 def profile_mixed(spark, sf_dir):
     return _flat(profile.profile(part_mixed(spark, sf_dir), "p_partkey", PART))

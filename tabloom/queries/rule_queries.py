@@ -43,9 +43,9 @@ def derived_date(spark, sf_dir):
     return orders_offset(spark, sf_dir).select("o_orderkey", rules.off_derived(DATED).alias("off"))
 
 
-@query("SELECT event_id, abs(epoch(ts - ts::DATE::TIMESTAMP) - (event_id % 86400)) > 43200 AS off FROM (SELECT event_id, date_trunc('minute', ts) AS ts FROM events WHERE event_id % 60 = 0)")
+@query("SELECT event_id, abs(epoch(ts - ts::DATE::TIMESTAMP) - (event_id % 86400 // 60) * 60) > 43200 AS off FROM (SELECT event_id, date_trunc('minute', ts) AS ts FROM events)")
 def derived_time(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 60 = 0").select("event_id", F.date_format("ts", "HH:mm").alias("at"))
+    e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH:mm").alias("at"))
     minutes = F.floor(F.col("event_id") % 86400 / 60)
     other = F.concat_ws(":", F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lpad((minutes % 60).cast("string"), 2, "0"))
     return e.select("event_id", rules.off_derived(Derived("at", ["event_id"], lambda: other, "time", 43200.0)).alias("off"))

@@ -37,9 +37,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's ``spark.checkpoint.dir``; where that is unset, a folder of this process."""
+    """The shared folder of the session's ``spark.checkpoint.dir``; where that is unset, a folder of this process, which only a
+    session on this machine alone can use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tabloom-"))
             atexit.register(shutil.rmtree, _own[0], True)

@@ -158,15 +158,19 @@ def run_folder(base: str) -> str:
     return str(path)
 
 
-def save_model(model: GaussianCopula, path: str) -> None:
-    """A fitted model as JSON: no code is stored, and any version can read it."""
+def save_model(model: GaussianCopula | IndependentBaseline, path: str) -> None:
+    """A fitted model as JSON: no code is stored, and any version can read it.  A baseline's cells are a table beside it."""
     write_json(model.to_dict(), path)
+    if isinstance(model, IndependentBaseline):
+        model.df.select([col(c) for c in dict.fromkeys([model.order, *model.schema.order])]).write.mode("overwrite").parquet(f"{path}.cells")
 
 
-def load_model(path: str) -> GaussianCopula:
+def load_model(path: str) -> GaussianCopula | IndependentBaseline:
     data = json.loads(Path(path).read_text(encoding="utf-8"))
+    if data.get("model") == IndependentBaseline.name:
+        return IndependentBaseline.from_dict(data, SparkSession.active().read.parquet(f"{path}.cells"))
     if data.get("model") != GaussianCopula.name:
-        raise ValueError(f"Not a stored copula: {path}")
+        raise ValueError(f"Not a stored model: {path}")
     return GaussianCopula.from_dict(data)
 
 
