@@ -14,10 +14,11 @@ classes are the connected components of links and equal texts.
    all rows of a band share a bucket; at similarity 0.8 a pair misses every bucket with probability 0.003.
 4. Small groups.  A bucket of up to SMALL members is sent with its texts to one place, once where several buckets have the
    same members, and all its pairs are compared there; what comes out is a spanning forest and no pair.
-5. Large groups.  Larger buckets that share members are one cluster, and clusters are disjoint.  Each has a hub, of its
-   most numerous class the member of most buckets (in later rounds, the one most like T of the round before), and every member of another class is compared with it.  Let y be like x,
-   where x isn't linked to the hub, and let T be what at least two of the hub and the CORE members after it share (nearly
-   all that the cluster has in common).  Either x and y share shingles outside T: then one of the rarest such shingles
+5. Large groups.  Larger buckets that share members are one cluster, and clusters are disjoint.  Let the core
+   be CORE members of its most numerous class, those of most buckets (in later rounds, most like T of the round before), and
+   T what at least two of the core share (nearly all that the cluster has in common).  The hub is the core's member most like
+   T, and every member of another class is compared with it.  Let y be like x,
+   where x isn't linked to the hub.  Either x and y share shingles outside T: then one of the rarest such shingles
    of each, up to a weight of 1 - SIMILARITY of its own.  Or all that they share is in T: then y's weight lies between
    SIMILARITY of x's and what the weight that x has in T allows.  Every member is put once into new groups by those
    rarest shingles (a fifth of its own at most) and by its class of weight, where members without a link to the hub look
@@ -50,7 +51,7 @@ from tabloom.llm.components import components
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SAMPLES = BANDS * ROWS
-SMALL = 96
+SMALL = 192
 TEAM = 8
 CORE = 32
 FEW = 32
@@ -308,25 +309,28 @@ def within(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def teams(chosen: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(cluster, team_keys, team_weights): the shingles that two or more of a cluster's at most CORE chosen members hold."""
+    """(cluster, hub, team_keys, team_weights): the shingles that two or more of a cluster's at most CORE chosen members hold,
+    and the member most like them."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    held = chosen.join(texts, "node").groupBy("cluster").agg(F.collect_list("text").alias("texts"))
+    held = chosen.join(texts, "node").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("core"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.astype(np.float64)
         for batch in batches:
-            keys, values = [], []
-            for texts in batch.column(1).to_pylist():
-                sets = [counted(next(hashing.shingles([_bytes(t)])), weights) for t in texts]
+            hubs, keys, values = [], [], []
+            for core in batch.column(1).to_pylist():
+                sets = [counted(next(hashing.shingles([_bytes(m["text"])])), weights) for m in core]
                 every, where, held = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True, return_counts=True)
                 most = np.zeros(len(every))
                 np.maximum.at(most, where, np.concatenate([w for _, w in sets]))
                 keys.append(every[held > 1].view(np.int64).tolist())
                 values.append(most[held > 1].tolist())
-            arrays = [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["cluster", "team_keys", "team_weights"])
+                near = [similarity(own, (every[held > 1], most[held > 1])) for own in sets]
+                hubs.append(core[int(np.argmax(near))]["node"])
+            arrays = [batch.column(0), pa.array(hubs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["cluster", "hub", "team_keys", "team_weights"])
 
-    return held.mapInArrow(run, "cluster binary, team_keys array<long>, team_weights array<double>")
+    return held.mapInArrow(run, "cluster binary, hub binary, team_keys array<long>, team_weights array<double>")
 
 
 def compared(pairs: DataFrame, team: DataFrame | None, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -340,7 +344,7 @@ def compared(pairs: DataFrame, team: DataFrame | None, texts: DataFrame, idf: np
     if team is None:
         heads = heads.join(texts.withColumnRenamed("node", "a"), "a").select("*", *none)
     else:
-        about = heads.where("hub").select("cluster", "a").distinct().join(team, "cluster").select("a", "team_keys", "team_weights")
+        about = heads.where("hub").select("cluster", "a").distinct().join(team.drop("hub"), "cluster").select("a", "team_keys", "team_weights")
         heads = heads.join(texts.withColumnRenamed("node", "a"), "a").join(about, "a", "left")
     heads = heads.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.lit(False).alias("ask"), F.lit(False).alias("same"), "text", "team_keys", "team_weights")
     members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "ask", "same", "text", *none)
@@ -372,9 +376,9 @@ def compared(pairs: DataFrame, team: DataFrame | None, texts: DataFrame, idf: np
     return dealt.mapInArrow(run, "a binary, b binary, linked boolean, keys array<long>, says array<tinyint>, near double")
 
 
-def clusters(large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """(cluster, node) of the hub and the CORE members after it, and the pairs (cluster, a, salt, b, hub, ask, same) that a
-    round looks at, for large groups (gid, node, label, near)."""
+def clusters(large: DataFrame, level: int, texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """What :func:`teams` gives, and the pairs (cluster, a, salt, b, hub, ask, same) that a round looks at, for large groups
+    (gid, node, label, near)."""
     least = large.groupBy("gid").agg(F.min("node").alias("a"))
     known = components(large.join(least, "gid").select("a", F.col("node").alias("b")))
     held = large.groupBy("node", "label").agg(F.count("*").alias("support"), F.max("near").alias("near"))
@@ -384,15 +388,17 @@ def clusters(large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     n_pivots = TEAM << (level - 1) if level else 1
     ranked = members.join(most, "cluster").withColumn("main", F.col("label") == F.col("most.label"))
     first = Window.partitionBy("cluster").orderBy(F.desc("main"), F.desc("near"), F.desc("support"), "node")
-    top = compact(ranked.select("cluster", "node", "label", "near", "support", "n", "main").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(n_pivots, CORE + 1)))
-    pivots = top.where(F.col("rank") <= n_pivots)
+    top = compact(ranked.select("cluster", "node", "label", "near", "support", "n", "main").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(n_pivots, CORE)))
+    team = compact(teams(top.where(F.col("rank") <= CORE).select("cluster", "node"), texts, idf))
+    placed = top.join(team.select("cluster", "hub"), "cluster").withColumn("rank", F.when(F.col("node") == F.col("hub"), 0).otherwise(F.col("rank")))
+    pivots = compact(placed.where(F.col("rank") < n_pivots).drop("hub"))
     others = members.join(pivots.select("node", "rank"), "node", "left").select("cluster", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("rank").alias("rank_b"))
     sides = pivots.select("cluster", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("rank").alias("rank_a"), "n")
-    same, hub = F.col("label_a") == F.col("label_b"), F.col("rank_a") == 1
+    same, hub = F.col("label_a") == F.col("label_b"), F.col("rank_a") == 0
     ask = hub & F.col("rank_b").isNull()
     new = F.col("rank_b").isNull() | (F.col("rank_b") > F.col("rank_a"))
     pairs = others.join(sides, "cluster").where(new & (ask | ~same))
-    return top.where(F.col("rank") <= CORE + 1).select("cluster", "node"), pairs.select("cluster", "a", _salt(), "b", hub.alias("hub"), ask.alias("ask"), same.alias("same"))
+    return team, pairs.select("cluster", "a", _salt(), "b", hub.alias("hub"), ask.alias("ask"), same.alias("same"))
 
 
 def _salt() -> Column:
@@ -429,11 +435,11 @@ def classes(docs: DataFrame) -> DataFrame:
         once = sizes.where(F.col("n") <= SMALL).groupBy("n", "who").agg(F.min("gid").alias("gid")).select("gid")
         links = written(within(compact(named.join(once, "gid")), texts, idf), "links")
         large = compact(named.join(sizes.where(F.col("n") > SMALL).select("gid"), "gid"))
-        team, pairs = (None, direct) if large.isEmpty() else clusters(large, level)
+        team, pairs = (None, direct) if large.isEmpty() else clusters(large, level, texts, idf)
         checked = None
         if pairs:
             pairs = compact(pairs if pairs is direct or not direct else pairs.unionByName(direct))
-            checked = written(compared(pairs, team and teams(team, texts, idf), texts, idf), "compared")
+            checked = written(compared(pairs, team, texts, idf), "compared")
             links = links.unionByName(checked.where("linked").select("a", "b"))
         found = compact(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))))
         if not team:
