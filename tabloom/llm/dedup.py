@@ -14,6 +14,11 @@ array of the whole corpus would need it on one machine, so the strings that can
    done.
 4. *Suffix arrays.*  Runs that meet are joined to blocks and sorted by Lyndon grouping (:mod:`tabloom.llm.suffixes`);
    neighbours in the array with 100 equal bytes are one class of windows, whose earliest stays.
+5. *Hot groups.*  A group of more than HOT_BYTES (a line that very many documents share, in other surroundings each) is not
+   sorted: its task hands its rows on as they come.  They are cut where windows hold the anchor at places of one class
+   of NARROW neighbours, meet again by the 93 bytes that all windows of a class have in common, and go through 4 once more.
+   What is too large even so is cut into single windows, whose copies are found by their 100 bytes.  So a task holds HOT_BYTES
+   of one group at most.
 
 Removed windows of all steps are united per document.
 
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,11 @@ SIDE = (LENGTH - ANCHOR) // 2
 TASK_RUNS = 1 << 19
 #: Bytes of runs sorted together; a larger group is sorted alone.
 BLOCK_BYTES = 1 << 12
+#: Bytes of a group that is sorted as it is; a larger one is cut by more context first.
+HOT_BYTES = 1 << 18
+#: Neighbouring places of the anchor in a window that share a group when hot groups are cut.
+NARROW = 8
+PART = "side binary, doc long, sub long, lo int, n int, head int, bytes binary"
 NULL_ID = -(1 << 63)
 RUN = "anchor long, whole long, doc long, sub long, lo int, n int, head int"
 RUN_NAMES = [f.split()[0] for f in RUN.split(", ")]
@@ -182,14 +193,15 @@ def settle_runs(found: DataFrame) -> DataFrame:
 
 
 def candidates(settled: DataFrame, rows: DataFrame) -> DataFrame:
-    """(side, doc, sub, lo, n, bytes): the two parts of a run under the hash of its anchor and of what stands before or after it."""
+    """PART rows: the two parts of a run under the hash of its anchor and of what stands before or after it; head is the
+    anchor's place in the first window."""
     wanted = settled.where(F.col("head") != REMOVED).groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "lo", "n", "head")).alias("runs"))
     both = wanted.join(rows, ["doc", "sub"]).select("doc", "sub", "runs", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, sub, found, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data, made = text.encode(), ([], [], [], [])
+                data, made = text.encode(), []
                 for r in found:
                     lo, n = r["lo"], r["n"]
                     at = lo + r["head"]
@@ -197,14 +209,60 @@ def candidates(settled: DataFrame, rows: DataFrame) -> DataFrame:
                     for first, size, side in ((lo, before, data[at - SIDE : at + ANCHOR] + b"<"), (lo + before, n - before, data[at : at + ANCHOR + SIDE] + b">")):
                         if size:
                             key = hashlib.blake2b(side, digest_size=16).digest()
-                            for column, value in zip(made, (key, first, size, data[first : first + size - 1 + LENGTH])):
-                                column.append(value)
-                if made[0]:
-                    arrays = [pa.array(made[0], pa.binary()), pa.array([doc] * len(made[0]), pa.int64()), pa.array([sub] * len(made[0]), pa.int64())]
-                    arrays += [pa.array(made[1], pa.int32()), pa.array(made[2], pa.int32()), pa.array(made[3], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["side", "doc", "sub", "lo", "n", "bytes"])
+                            made.append((key, doc, sub, first, size, at - first, data[first : first + size - 1 + LENGTH]))
+                if made:
+                    yield _parts(made)
 
-    return both.mapInArrow(run, "side binary, doc long, sub long, lo int, n int, bytes binary")
+    return both.mapInArrow(run, PART)
+
+
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in PART.split(", ")])
+
+
+def cut_parts(lo: int, n: int, head: int, data: bytes, width: int) -> Iterator[tuple[bytes, int, int, int, bytes]]:
+    """(side, lo, n, head, bytes) of a part's windows by classes of ``width`` places of the anchor; the side is the hash of what
+    all windows of the class hold, and of the class."""
+    for k in range((head - n + 1) // width, head // width + 1):
+        least, most = k * width, min(k * width + width, LENGTH - ANCHOR + 1) - 1
+        first, last = head - min(head, most), head - max(head - n + 1, least)
+        common = data[head - least : head - most + LENGTH]
+        key = hashlib.blake2b(b"%d:%d:" % (width, k) + common, digest_size=16).digest()
+        yield key, lo + first, last - first + 1, head - first, data[first : last + LENGTH]
+
+
+def narrower(held: DataFrame, width: int) -> DataFrame:
+    """PART rows of the parts that :func:`sort_blocks` handed on, cut by :func:`cut_parts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for doc, sub, lo, n, head, data in zip(*(c.to_pylist() for c in batch.columns)):
+                made += [(key, doc, sub, *rest) for key, *rest in cut_parts(lo, n, head, data, width)]
+            if made:
+                yield _parts(made)
+
+    return held.select("doc", "sub", "lo", "n", "head", "bytes").mapInArrow(run, PART)
+
+
+def equal_windows(found: DataFrame) -> DataFrame:
+    """Removed windows (doc, sub, lo, n) of PART rows of one window each: the earliest of a side stays."""
+    dealt = found.repartition("side").sortWithinPartitions("side", "doc", "sub", "lo")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None
+        for batch in batches:
+            gone = []
+            for side, doc, sub, lo, _, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if side != last:
+                    last, first = side, data
+                elif data == first:
+                    gone.append((doc, sub, lo))
+            if gone:
+                yield _windows(gone)
+
+    return dealt.mapInArrow(run, WINDOWS)
 
 
 def repeated_windows(block: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
@@ -239,40 +297,74 @@ def _later(held: list[int], block: list, owner: np.ndarray, start_of: list[int])
     return [p for p in places if p != least]
 
 
-def sort_blocks(found: DataFrame) -> DataFrame:
-    """Removed windows (doc, sub, lo, n) of candidates that meet."""
+#: Removed windows, or with bytes a part of a group that was too large.
+WINDOWS = "doc long, sub long, lo int, n int, head int, bytes binary"
+WINDOW_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _windows(places: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    doc, sub, lo = np.array(places, np.int64).T
+    merged = _merged(doc, sub, lo, np.ones_like(lo))
+    arrays = [pa.array(c, k) for c, k in zip(merged, WINDOW_KINDS)] + [pa.nulls(len(merged[0]), k) for k in WINDOW_KINDS[4:]]
+    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in WINDOWS.split(", ")])
+
+
+def sort_blocks(found: DataFrame, hot: int) -> DataFrame:
+    """WINDOWS rows of PART rows that meet: removed windows, and groups of more than ``hot`` bytes as they are."""
     dealt = found.repartition("side").sortWithinPartitions("side", "doc", "sub", "lo")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        last, held = None, []
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], bool]]:
+        """Whole groups of two rows or more, and larger ones in pieces."""
+        last, held, size, over = None, [], 0, False
         for batch in batches:
             for side, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if side != last:
-                    if len(held) > 1:
-                        yield held
-                    last, held = side, []
+                    if len(held) > 1 or (held and over):
+                        yield held, not over
+                    last, held, size, over = side, [], 0, False
                 held.append(tuple(rest))
-        if len(held) > 1:
-            yield held
+                size += len(rest[-1])
+                if size > hot:
+                    yield held, False
+                    held, size, over = [], 0, True
+        if len(held) > 1 or (held and over):
+            yield held, not over
 
     def settle(block: list[tuple]) -> Iterator[pa.RecordBatch]:
         found = sorted(set(repeated_windows(block)))
         if found:
-            doc, sub, lo = np.array(found, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(_merged(doc, sub, lo, np.ones_like(lo)), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "sub", "lo", "n"])
+            yield _windows(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = [], 0
-        for group in groups(batches):
-            block += group
-            size += sum(len(r[4]) for r in group)
+        for group, whole in groups(batches):
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*group), WINDOW_KINDS)], [f.split()[0] for f in WINDOWS.split(", ")])
+                continue
+            block += [(*r[:4], r[5]) for r in group]
+            size += sum(len(r[5]) for r in group)
             if size >= BLOCK_BYTES:
                 yield from settle(block)
                 block, size = [], 0
         if block:
             yield from settle(block)
 
-    return dealt.mapInArrow(run, "doc long, sub long, lo int, n int")
+    return dealt.mapInArrow(run, WINDOWS)
+
+
+def sorted_windows(found: DataFrame, hot: int) -> DataFrame:
+    """Removed windows (doc, sub, lo, n) of PART rows, hot groups in up to three rounds."""
+    names, tables = ["doc", "sub", "lo", "n"], []
+    for width in (NARROW, 1):
+        made = written(sort_blocks(found, hot), "windows")
+        tables.append(made.where("bytes IS NULL").select(names))
+        held = made.where("bytes IS NOT NULL")
+        if held.isEmpty():
+            break
+        found = narrower(held, width)
+    else:
+        tables.append(written(equal_windows(found).select(names), "windows"))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -283,14 +375,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", key).withColumn("sub", sub)
 
 
-def removals(docs: DataFrame, *keep: Column | str) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, *keep: Column | str, hot: int = HOT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(doc, sub, spans array<struct<lo, n>>) of documents with removed windows; (doc, sub, text, what to keep) of all rows."""
     rows = keyed(docs).select("doc", "sub", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     once = rows.select("doc", "sub", "text")
     if _repeats(rows):  # one document, else its runs would be copies of themselves
         once = once.dropDuplicates(["doc", "sub"])
     settled = written(settle_runs(find_runs(once)), "runs")
-    sorted_out = written(sort_blocks(candidates(settled, once)), "windows")
+    sorted_out = sorted_windows(candidates(settled, once), hot)
     gone = settled.where(F.col("head") == REMOVED).select("doc", "sub", "lo", "n").unionByName(sorted_out)
     return gone.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), rows
 
@@ -317,9 +409,9 @@ def kept_parts(data: bytes, spans: list[dict] | None) -> tuple[list[bytes], int,
     return parts, n_removed, n_spans
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
-    spans, rows = removals(docs.select("doc_id", "text"), "doc_id")
+def remove_repeats(docs: DataFrame, hot: int = HOT_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row; the result is the same for any ``hot``."""
+    spans, rows = removals(docs.select("doc_id", "text"), "doc_id", hot=hot)
     joined = rows.join(spans, ["doc", "sub"], "left").select("doc_id", "text", "spans")
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -34,8 +34,8 @@ def plain(rows):
     return out
 
 
-def found(docs):
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in dedup.remove_repeats(docs).collect()}
+def found(docs, hot=dedup.HOT_BYTES):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in dedup.remove_repeats(docs, hot).collect()}
 
 
 @given(st.binary(max_size=200) | st.lists(st.sampled_from([b"a", b"ab", b"ba", b"\xff"]), max_size=80).map(b"".join))
@@ -69,6 +69,39 @@ def test_planted_passages(spark, monkeypatch, task_runs):
     assert found(frame(spark, rows).repartition(5)) == plain(rows)
 
 
+@pytest.mark.parametrize("hot", [600, 4000])
+def test_hot_groups(spark, hot):
+    """Lines that many documents share, of 70, 98 and 150 bytes, in surroundings that are all different, alike or few."""
+    rng = random.Random(21)
+    prose = lambda n: "".join(rng.choices("abcdefgh éü\n", k=n))
+    short, long, longest = prose(60), "x" + prose(80) + "y", prose(140)
+    few = [prose(20) for _ in range(3)]
+    rows = [(i, prose(60) + short + prose(60)) for i in range(150)]
+    rows += [(200 + i, prose(rng.randrange(40)) + rng.choice(few) + short + rng.choice(few) + prose(rng.randrange(40))) for i in range(150)]
+    rows += [(400 + i, prose(2) + rng.choice("pq") + long + rng.choice("rs") + "t" * 10 + prose(2)) for i in range(150)]
+    rows += [(600 + i, prose(9) + longest + prose(9)) for i in range(80)]
+    assert found(frame(spark, rows).repartition(5), hot) == plain(rows)
+
+
+def test_hot_groups_take_all_rounds(spark):
+    """The third round, of single windows: 97 shared bytes with three that differ."""
+    rng = random.Random(22)
+    line = "".join(rng.choices("abcdefgh", k=97))
+    rows = [(i, f"{i % 100:03d}" + line + f"{i // 3:03d}") for i in range(300)]
+    assert found(frame(spark, rows), 200) == plain(rows)
+
+
+@given(st.integers(0, 68), st.integers(1, 69), st.sampled_from([1, 5, 8, 34]))
+@settings(max_examples=200, deadline=None)
+def test_cut_parts_keep_every_window(head, n, width):
+    n = min(n, head + 1)
+    data = bytes(random.Random(head * 100 + n).choices(range(256), k=n - 1 + dedup.LENGTH))
+    parts = list(dedup.cut_parts(1000, n, head, data, width))
+    assert sorted(lo + i for _, lo, k, _, _ in parts for i in range(k)) == list(range(1000, 1000 + n))
+    for _, lo, k, own, cut in parts:
+        assert lo + own == 1000 + head and cut == data[lo - 1000 : lo - 1000 + k - 1 + dedup.LENGTH]
+
+
 def test_periods_and_edges(spark):
     rows = [(0, None), (1, ""), (2, "a" * 99), (3, "a" * 100), (4, "a" * 101), (5, "a" * 5000), (6, "ab" * 300), (7, "ba" * 300 + "x"), (8, "same line\n" * 80), (9, "é" * 500), (10, " " * 250), (11, "x" * 99 + "é" * 60)]
     assert found(frame(spark, rows)) == plain(rows)
