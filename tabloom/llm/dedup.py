@@ -53,6 +53,11 @@ BLOCK_BYTES = 1 << 12
 HOT_BYTES = 1 << 18
 #: Neighbouring places of the anchor in a window that share a group when hot groups are cut.
 NARROW = 8
+#: Removed windows of a block are handed on from so many on.
+BATCH = 1 << 14
+#: Removed windows, or with bytes a part of a group that was too large.
+WINDOWS = "doc long, sub long, lo int, n int, head int, bytes binary"
+WINDOW_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 PART = "side binary, doc long, sub long, lo int, n int, head int, bytes binary"
 NULL_ID = -(1 << 63)
 RUN = "anchor long, whole long, doc long, sub long, lo int, n int, head int"
@@ -297,11 +302,6 @@ def _later(held: list[int], block: list, owner: np.ndarray, start_of: list[int])
     return [p for p in places if p != least]
 
 
-#: Removed windows, or with bytes a part of a group that was too large.
-WINDOWS = "doc long, sub long, lo int, n int, head int, bytes binary"
-WINDOW_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-
-
 def _windows(places: list[tuple[int, int, int]]) -> pa.RecordBatch:
     doc, sub, lo = np.array(places, np.int64).T
     merged = _merged(doc, sub, lo, np.ones_like(lo))
@@ -330,13 +330,8 @@ def sort_blocks(found: DataFrame, hot: int) -> DataFrame:
         if len(held) > 1 or (held and over):
             yield held, not over
 
-    def settle(block: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = sorted(set(repeated_windows(block)))
-        if found:
-            yield _windows(found)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = [], 0
+        block, size, gone = [], 0, []
         for group, whole in groups(batches):
             if not whole:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*group), WINDOW_KINDS)], [f.split()[0] for f in WINDOWS.split(", ")])
@@ -344,10 +339,14 @@ def sort_blocks(found: DataFrame, hot: int) -> DataFrame:
             block += [(*r[:4], r[5]) for r in group]
             size += sum(len(r[5]) for r in group)
             if size >= BLOCK_BYTES:
-                yield from settle(block)
+                gone += set(repeated_windows(block))
                 block, size = [], 0
-        if block:
-            yield from settle(block)
+            if len(gone) >= BATCH:
+                yield _windows(gone)
+                gone = []
+        gone += set(repeated_windows(block))
+        if gone:
+            yield _windows(gone)
 
     return dealt.mapInArrow(run, WINDOWS)
 
