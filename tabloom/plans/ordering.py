@@ -1,8 +1,10 @@
 """Global order without a single task: numbering and running sums in two levels.
 
-A window without PARTITION BY moves all rows to one task.  Here rows are cut by the range of the ordering number into
-BUCKETS buckets; a bucket's total comes from an aggregate that combines before the shuffle, the totals' running sum is
-taken over at most BUCKETS rows (a group), and inside a bucket a window runs in parallel.  All is one lazy plan.
+A window without PARTITION BY moves all rows to one task.  Here rows are cut into BUCKETS buckets of about as many rows each,
+at approximate quantiles of the ordering number, so an outlier or a skewed distribution doesn't fill one bucket (rows of one
+same number stay together); a bucket's total comes from an aggregate that combines before the shuffle, the totals' running sum is
+taken over at most BUCKETS rows (a group), and inside a bucket a window runs in parallel.  The quantiles are checkpointed:
+approximate ones may differ when they are taken again, and every reader must see the same buckets.
 """
 
 from __future__ import annotations
@@ -12,15 +14,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.session import checkpoint
+
 BUCKETS = 1024
+#: Quantiles of at most so many groups are broadcast (8 KB a group).
+GROUPS = 1000
 
 
 def _bucketed(df: DataFrame, order: Column, by: Sequence[str], buckets: int) -> DataFrame:
-    bounds = df.groupBy(*by).agg(F.min(order).cast("double").alias("__low"), F.max(order).cast("double").alias("__high"))
-    share = (order.cast("double") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)) * buckets
-    bucket = F.least(F.lit(buckets - 1), F.coalesce(F.floor(share), F.lit(0)).cast("int"))
-    joined = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))
-    return joined.withColumn("__bucket", bucket).drop("__low", "__high")
+    """df with ``__bucket``, how many quantiles are below the number (null is in bucket 0), by a binary search whose steps are
+    columns of their own."""
+    steps = [1 << k for k in reversed(range((buckets - 1).bit_length()))]
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = checkpoint(df.groupBy(*by).agg(F.sort_array(F.percentile_approx(order.cast("double"), shares, 10_000)).alias("__bounds")))
+    sent = F.broadcast(bounds) if not by or bounds.count() <= GROUPS else bounds
+    joined = df.join(sent, list(by)) if by else df.crossJoin(sent)
+    joined = joined.withColumn("__bucket", F.lit(0))
+    for step in steps:
+        bound = F.get("__bounds", F.col("__bucket") + F.lit(step - 1))
+        joined = joined.withColumn("__bucket", F.when(bound < order.cast("double"), F.col("__bucket") + step).otherwise(F.col("__bucket")))
+    return joined.drop("__bounds")
 
 
 def running(df: DataFrame, order: str, measure: Column, name: str, by: Sequence[str] = (), buckets: int = BUCKETS, ties: Sequence[str] = ()) -> DataFrame:

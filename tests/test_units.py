@@ -13,7 +13,7 @@ from tabloom.functions import scalars as s
 from tabloom.operators import conform, copula, encode, mixed, privacy, profile, rules, select, validate
 from tabloom.operators.profile import infer_schema
 from tabloom.operators.rules import ConditionalBlank, Constraints, Derived
-from tabloom.plans import clinical
+from tabloom.plans import clinical, ordering
 from tabloom.plans.ordering import numbered, running, spread
 from tabloom.queries import checks  # noqa: F401  registers its queries
 from tabloom.queries.registry import QUERIES
@@ -78,6 +78,18 @@ def test_ordering_in_two_levels(spark):
     assert numbered(df.limit(0), "v", "rn").count() == 0
 
 
+def test_ordering_with_outliers_and_nulls(spark):
+    """One far value must not put the others in one bucket; nulls come first."""
+    values = [*range(5000), 10**15]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    sizes = [r["count"] for r in ordering._bucketed(df, F.col("v"), [], 64).groupBy("__bucket").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 300
+    assert {r.v: r.rn for r in numbered(df, "v").collect()} == {v: i + 1 for i, v in enumerate(values)}
+    some = spark.createDataFrame([(None, "a"), (2.5, "a"), (float("nan"), "a"), (-1.0, "a"), (None, "b")], "v double, g string")
+    found = {(r.g, str(r.v)): r.rn for r in numbered(some, "v", by=["g"]).collect()}
+    assert found == {("a", "None"): 1, ("a", "-1.0"): 2, ("a", "2.5"): 3, ("a", "nan"): 4, ("b", "None"): 1}
+
+
 def test_kinds(spark):
     rows = [(i, str(i + 1), f"2020-01-{i % 28 + 1:02d}", f"{i % 24:02d}:00", "same", ["x", "y"][i % 2], ["5", "6", "Unknown"][i % 3] if i % 9 else None, str((i * 37 % 40) / 4), f"n{i % 5}") for i in range(60)]
     df = spark.createDataFrame(rows, "_row_id long, number string, day string, clock string, fixed string, two string, `age::1` string, measure string, few string")
