@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
@@ -61,6 +62,8 @@ SETTLED = 0x250
 ASSIGNED = ((SETTLED, 0xD800), (0xE000, 0x33480), (0xE0000, 0xE0200))
 #: A character of each kind that the words' patterns tell apart, which none of them names itself.
 STAND_INS = {r"\p{L}": "ü", r"\p{N}": "7", r"\s": " ", "": "!"}
+#: The ASCII characters of the kinds that the words' patterns name, inside brackets.
+ASCII_KINDS = {"L": "a-zA-Z", "N": "0-9", "White_Space": " \\t-\\r"}
 #: Surroundings in which a character's normalised form shows.
 SURROUNDINGS = ("{}", "a{}\u0323", "{}\u0301")
 
@@ -70,6 +73,19 @@ def settled(text: str) -> bool:
     return text.isascii() or int(np.frombuffer(text.encode("utf-16-le"), "<u2").max()) < SETTLED
 
 
+def ascii_pattern(pattern: str) -> str:
+    """What a pattern of words says of ASCII characters, without Unicode's properties."""
+    out, inside = [], False
+    for part in regex.split(r"(\\[pP]\{\w+\}|\\.|[\[\]])", pattern):
+        if part[:2] in (r"\p", r"\P"):
+            ranges, no = ASCII_KINDS[part[3:-1]], "^" * (part[1] == "P")
+            out.append(ranges if inside else f"[{no}{ranges}]")
+        else:
+            inside = part == "[" or (inside and part != "]")
+            out.append(part)
+    return "".join(out)
+
+
 def odd_characters(normaliser, normalise: Callable[[str], str]) -> dict[str, str]:
     """Characters that the library's tables and Python's tell apart, by kind or by normalised form, each with a stand-in of
     the library's kind; found over all code points from what the library makes of them."""
@@ -110,6 +126,7 @@ class BpeModel:
         self.normal = [s["type"] for s in steps.get("normalizers", [steps] if steps else [])]
         self.path = path
         self.words = regex.compile(self._pattern(spec["pre_tokenizer"]))
+        self.ascii_words = re.compile(ascii_pattern(self.words.pattern), re.ASCII)
         at = "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))
         self.cut = regex.compile(f"({at})") if at else None
         self.table = dict(enumerate(byte_symbols()))
@@ -158,6 +175,8 @@ class BpeModel:
 
     def split(self, text: str) -> list[str]:
         """The words of a normalised text, as the library cuts it."""
+        if text.isascii():
+            return self.ascii_words.findall(text)
         if self.is_odd(text):
             return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.odd))]
         return self.words.findall(text)

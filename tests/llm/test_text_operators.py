@@ -1,6 +1,7 @@
 """Operators on one text at a time, held against libraries, brute force and round trips."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -311,3 +312,12 @@ def test_long_words_by_logarithms(monkeypatch):
     assert np.isfinite(model._summed([endless])).all() and np.isclose(language.expected_counts({endless: 1.0}, path).sum(), 3000, rtol=1)
     same = language.Model(path, ["aa", "bb"], np.ones((len(language.pieces(path)) + 1, 2)))
     assert [*same.predict(["some words", "some words", "12"])] == [("aa", 0.5), ("aa", 0.5), ("und", 0.0)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_ascii_texts(name):
+    """The plain pattern for ASCII texts cuts as the one with Unicode's properties does."""
+    model, rng = bpe.load(bpe.vocabulary_path(name)), random.Random(3)
+    texts = [f"a{a}{b}{c}" for a in map(chr, range(128)) for b in map(chr, range(128)) for c in ("", "b", " ", "1", "'s")]
+    texts += ["".join(rng.choices([*map(chr, range(128)), *"  \n\n\t''sdtmrelvSDT0aA"], k=rng.randrange(40))) for _ in range(5000)]
+    assert all(model.split(t) == model.words.findall(t) for t in texts)
