@@ -8,8 +8,10 @@ Resizing averages over areas: the integral image is interpolated at the fraction
 is exact for any ratio of sizes.  A tile is written in the NPY format; the difference hash compares neighbouring cells
 of a 9 x 8 grid of mean brightness, 64 bits as 16 hex digits.
 
-Defined results: a null text is empty; an empty payload is padded to one row; equal texts give equal values; bytes
-that are no such image raise ValueError in :func:`decode`; an empty table gives no rows; other columns aren't read.
+Sums are taken a strip of STRIP samples at a time, so a text of any length needs its payload and stored form in memory and little more.
+
+Defined results: a null text is empty; an empty payload is padded to one row; equal texts and repeated rows give equal values; a
+null doc_id is carried along; bytes that are no such image raise ValueError in :func:`decode`; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import hashlib
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 PIXELS = 64
 ROW_BYTES = 3 * PIXELS
 TILE = 16
+#: Samples of an image that are summed at once.
+STRIP = 1 << 20
 
 
 def pad(data: bytes) -> bytes:
@@ -95,15 +99,38 @@ def _weights(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return low, edges - low
 
 
-def resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Mean samples of rows x columns cells, float64."""
+def _samples(strip: np.ndarray) -> np.ndarray:
+    return strip.astype(np.float64)
+
+
+def _brightness(strip: np.ndarray) -> np.ndarray:
+    return strip.mean(2, dtype=np.float64)
+
+
+def _integral_lines(pixels: np.ndarray, at: np.ndarray, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The integral image's lines ``at``, summed up a strip of rows at a time, so no image of floats is held."""
+    total = np.zeros(of(pixels[:1]).shape[1:])
+    lines = np.zeros((len(at), total.shape[0] + 1, *total.shape[1:]))
+    size = max(1, STRIP // pixels[0].size)
+    for low in range(0, len(pixels), size):
+        strip = of(pixels[low : low + size])
+        strip[0] += total
+        strip = np.cumsum(strip, 0)
+        inside = np.flatnonzero((at > low) & (at <= low + len(strip)))
+        lines[inside, 1:] = strip[at[inside] - low - 1]
+        total = strip[-1]
+    return np.cumsum(lines, 1)
+
+
+def resize(pixels: np.ndarray, rows: int, columns: int, of: Callable[[np.ndarray], np.ndarray] = _samples) -> np.ndarray:
+    """Mean samples of rows x columns cells, float64; ``of`` makes the samples of some rows."""
     height, width = pixels.shape[:2]
-    total = np.zeros((height + 1, width + 1, *pixels.shape[2:]))
-    np.cumsum(np.cumsum(pixels, 0, dtype=np.float64), 1, out=total[1:, 1:])
     y, fy = _weights(height, rows)
     x, fx = _weights(width, columns)
-    fy, fx = fy.reshape(-1, *[1] * (pixels.ndim - 1)), fx.reshape(1, -1, *[1] * (pixels.ndim - 2))
-    lines = total[y] * (1 - fy) + total[y + 1] * fy
+    found = _integral_lines(pixels, np.concatenate([y, y + 1]), of)
+    above, below = found[: rows + 1], found[rows + 1 :]
+    fy, fx = fy.reshape(-1, *[1] * (found.ndim - 1)), fx.reshape(1, -1, *[1] * (found.ndim - 2))
+    lines = above * (1 - fy) + below * fy
     at = lines[:, x] * (1 - fx) + lines[:, x + 1] * fx
     return (at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]) / ((height / rows) * (width / columns))
 
@@ -116,7 +143,7 @@ def npy(pixels: np.ndarray) -> bytes:
 
 def difference_hash(pixels: np.ndarray) -> str:
     """A bit for each cell of an 8 x 9 grid that is brighter than its left neighbour; means are compared in 1/256."""
-    grid = np.rint(resize(pixels.mean(2, dtype=np.float64), 8, 9) * 256)
+    grid = np.rint(resize(pixels, 8, 9, _brightness) * 256)
     return np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes().hex()
 
 
