@@ -11,8 +11,9 @@ word is merged by :meth:`BpeModel.merge`:
 The scan is quadratic, which is fastest for short words; words of over ``LONG_WORD`` symbols take a heap with the
 same order of merges, so one endless word can't stall a task.
 
-Defined results: a null text counts as empty; an empty text has no ids; repeated rows are encoded alike; columns
-other than the id and text columns aren't read.
+Defined results: a null text counts as empty; an empty text has no ids; a text of any length is encoded whole, a batch's texts
+in memory at a time; a null id is carried along; repeated rows are encoded alike; columns other than the id and text columns
+aren't read.
 """
 
 from __future__ import annotations

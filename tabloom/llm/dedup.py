@@ -24,7 +24,8 @@ Removed windows of all steps are united per document.
 
 Defined results: a null text is empty; a null doc_id is smaller than all others; rows with equal doc_id and text are
 one document and get the same result, rows with equal doc_id and other texts are separate documents in the order of
-their texts' hashes; texts under 100 bytes keep all; an empty table gives no rows; other columns aren't read.
+their texts' hashes; texts under 100 bytes keep all; a text of any length is
+read whole, one at a time; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations

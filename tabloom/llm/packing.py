@@ -11,7 +11,8 @@ A block is a run of documents of one input split holding about BLOCK_TOKENS toke
 longest document, nothing is shuffled, and a lost task is repeated from its split with the same result.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed as often as they
-occur; a null doc_id is carried along; an empty table gives no pieces; other columns aren't read.
+occur; a null doc_id is carried along; a text of any length is packed whole; of
+remainders of equal length the split's earlier is placed first, of sequences of equal cost the earlier takes it; an empty table gives no pieces; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ rule of a policy the documents that fail it, and those that fail nothing else an
 Words are runs of characters other than ASCII white space.  Repetition is measured on 8-word windows, compared by
 64-bit hashes combined from the words' hashes.
 
-Defined results: a null text has no words and fails ``few_words`` as an empty one does; equal texts get equal rows;
+Defined results: a null text has no words and fails ``few_words`` as an empty one does; equal texts get equal rows; a text of any length is
+measured whole; a null doc_id is carried along;
 an empty table gives an empty ledger; other columns aren't read.
 """
 

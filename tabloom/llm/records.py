@@ -13,7 +13,8 @@ Checksums are computed for many records at once: the CRC is linear, so words are
 operator that advances a state by 2^j words, all made by rule.
 
 Defined results: a null or empty text is a record of the end id alone; a null doc_id comes first and is stored as the
-least 64-bit number; rows with the same doc_id follow each other by text; an empty table gives no files and no rows;
+least 64-bit number; rows with the same doc_id follow each other by their texts' hashes; a
+text of any length is one record; an empty table gives no files and no rows;
 other columns aren't read.
 """
 

@@ -6,7 +6,8 @@ those that end as one piece, so counting them as one is proved and not assumed.
 only the rest are merged, each distinct word once a worker's cache.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings inside a text count one each, as the
-library reads them; repeated rows are counted alike; an empty table gives no rows; other columns aren't read.
+library reads them; repeated rows are counted alike; a text of any length is
+counted whole; a null doc_id is carried along; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
