@@ -2,6 +2,10 @@
 
 Every stage works on all rows that the one before it kept and, but for the last, returns the columns of ``documents``;
 each is written as Parquet in the shared folder and read again, so a lost executor costs one stage's tasks at most.
+
+Defined results: null and empty texts have too few words and go in the first stage; of equal texts and repeated rows one stays, of
+ties the least (doc_id, digest); texts of any length go through whole; other columns are carried along, whatever their names, until
+packing gives its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
