@@ -71,3 +71,21 @@ def test_empty(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_edges(spark, sf_dir):
+    """Nulls, empty texts, repeated rows and columns named like results: one row of equal texts stays, with all its columns."""
+    docs = table(spark, sf_dir, "documents").where("doc_id < 60 AND lang IS NOT NULL")
+    odd = docs.unionByName(docs).unionByName(docs.selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "source", "n_chars"))
+    nulls = spark.createDataFrame([(None, None, None, None, None), (2000, "", "en", "s", 0), (2001, None, "en", "s", None)], docs.schema)
+    names = ["node", "label", "class_id", "kept", "score", "lang_pred", "n_words", "fail_mask", "spans", "doc", "sub", "data"]
+    left = odd.unionByName(nulls).selectExpr("*", *[f"concat('x', doc_id) AS {c}" for c in names])
+    columns = left.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, sf_dir)
+        assert left.columns == columns, name
+        left = spark.createDataFrame(left.collect(), left.schema)
+    rows = left.collect()
+    assert rows and len({r.doc_id for r in rows}) == len(rows) and all(r.doc_id < 60 for r in rows)
+    assert all(r[c] == f"x{r.doc_id}" for r in rows for c in names)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, left, sf_dir).collect()} == {r.doc_id for r in rows}
