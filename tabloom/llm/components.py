@@ -54,9 +54,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], ["node", "label"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): for each node of the links (a, b) the least node of its component."""
-    links = checkpoint(links.where("a <> b").select("a", "b").distinct())
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, label): for each node of the links (a, b), which are ``most`` rows or fewer (None: counted first), the least node of its component."""
+    most = links.count() if most is None else most
+    links = checkpoint(links.where("a <> b").select("a", "b").distinct().coalesce(1 + most // PART))
     n, kind = links.count(), dict(links.dtypes)["a"]
     if n <= LOCAL:
         return links.coalesce(1).mapInArrow(_joined, f"node {kind}, label {kind}")

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import hashing
 from tabloom.llm.common import bucketed, checkpoint, written
-from tabloom.llm.components import components
+from tabloom.llm.components import PART, components
 
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
@@ -66,8 +66,6 @@ SHINGLE_KEY, HOLDS, SEEKS = 0, 1, 2
 CELLS = 1 << 17
 RARE = 100
 SCALE = 1 << 20
-#: Rows of a partition of candidates.
-PART = 20_000
 SEEDS = hashing.numbers(SAMPLES, 2)
 
 
@@ -134,10 +132,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     return hashing.groups((k, _bytes(t)) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """The frame, checkpointed, in as many partitions as its rows need, however many the session deals out."""
-    df = checkpoint(df)
-    return df.coalesce(1 + df.count() // PART)
+def compact(df: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The frame, checkpointed, in as many partitions as its rows need, however many the session deals out, and the number of its rows.
+    It has at most ``most`` rows: a partition is a file, which an executor makes with processes of its own, so it gets no more of them than those need."""
+    df = checkpoint(df.coalesce(1 + most // PART))
+    n = df.count()
+    return df.coalesce(1 + n // PART), n
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -376,29 +376,29 @@ def compared(pairs: DataFrame, team: DataFrame | None, texts: DataFrame, idf: np
     return dealt.mapInArrow(run, "a binary, b binary, linked boolean, keys array<long>, says array<tinyint>, near double")
 
 
-def clusters(large: DataFrame, level: int, texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """What :func:`teams` gives, and the pairs (cluster, a, salt, b, hub, ask, same) that a round looks at, for large groups
-    (gid, node, label, near)."""
+def clusters(large: DataFrame, n_large: int, level: int, texts: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame, int]:
+    """What :func:`teams` gives, the pairs (cluster, a, salt, b, hub, ask, same) that a round looks at, and how many they are at most,
+    for n_large rows of large groups (gid, node, label, near)."""
     least = large.groupBy("gid").agg(F.min("node").alias("a"))
-    known = components(large.join(least, "gid").select("a", F.col("node").alias("b")))
+    known = components(large.join(least, "gid").select("a", F.col("node").alias("b")), n_large)
     held = large.groupBy("node", "label").agg(F.count("*").alias("support"), F.max("near").alias("near"))
-    members = compact(held.join(known.withColumnRenamed("label", "cluster"), "node"))
+    members, n_members = compact(held.join(known.withColumnRenamed("label", "cluster"), "node"), n_large)
     sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("k"))
     most = sizes.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most"))
     n_pivots = TEAM << (level - 1) if level else 1
     ranked = members.join(most, "cluster").withColumn("main", F.col("label") == F.col("most.label"))
     first = Window.partitionBy("cluster").orderBy(F.desc("main"), F.desc("near"), F.desc("support"), "node")
-    top = compact(ranked.select("cluster", "node", "label", "near", "support", "n", "main").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(n_pivots, CORE)))
-    team = compact(teams(top.where(F.col("rank") <= CORE).select("cluster", "node"), texts, idf))
+    top, n_top = compact(ranked.select("cluster", "node", "label", "near", "support", "n", "main").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(n_pivots, CORE)), n_members)
+    team = written(teams(top.where(F.col("rank") <= CORE).select("cluster", "node"), texts, idf), "teams")
     placed = top.join(team.select("cluster", "hub"), "cluster").withColumn("rank", F.when(F.col("node") == F.col("hub"), 0).otherwise(F.col("rank")))
-    pivots = compact(placed.where(F.col("rank") < n_pivots).drop("hub"))
+    pivots, _ = compact(placed.where(F.col("rank") < n_pivots).drop("hub"), n_top)
     others = members.join(pivots.select("node", "rank"), "node", "left").select("cluster", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("rank").alias("rank_b"))
     sides = pivots.select("cluster", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("rank").alias("rank_a"), "n")
     same, hub = F.col("label_a") == F.col("label_b"), F.col("rank_a") == 0
     ask = hub & F.col("rank_b").isNull()
     new = F.col("rank_b").isNull() | (F.col("rank_b") > F.col("rank_a"))
     pairs = others.join(sides, "cluster").where(new & (ask | ~same))
-    return team, pairs.select("cluster", "a", _salt(), "b", hub.alias("hub"), ask.alias("ask"), same.alias("same"))
+    return team, pairs.select("cluster", "a", _salt(), "b", hub.alias("hub"), ask.alias("ask"), same.alias("same")), n_members * n_pivots
 
 
 def _salt() -> Column:
@@ -424,35 +424,41 @@ def classes(docs: DataFrame) -> DataFrame:
     idf = idf_table(real)
     drawn = written(sketches(real, idf), "sketches")
     banded = drawn.select("node", F.posexplode("buckets").alias("band", "bucket")).select(F.xxhash64("band", "bucket").alias("gid"), "node")
-    groups = compact(banded.join(banded.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid"), "gid").withColumn("near", F.lit(0.0)))
+    often = banded.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
+    groups, n_groups = compact(banded.join(often, "gid").withColumn("near", F.lit(0.0)), BANDS * drawn.count())
     texts = bucketed(real.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
     found = drawn.select("node", F.col("node").alias("label")).limit(0)
-    level, direct = 0, None
-    while direct or not groups.isEmpty():
+    level, direct, n_direct, n_found = 0, None, 0, 0
+    while n_direct or n_groups:
         named = groups.join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"), "near")
         sizes = named.groupBy("gid").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("node")).alias("who"))
         sizes = sizes.where("n > 1 AND x <> y")
         once = sizes.where(F.col("n") <= SMALL).groupBy("n", "who").agg(F.min("gid").alias("gid")).select("gid")
-        links = written(within(compact(named.join(once, "gid")), texts, idf), "links")
-        large = compact(named.join(sizes.where(F.col("n") > SMALL).select("gid"), "gid"))
-        team, pairs = (None, direct) if large.isEmpty() else clusters(large, level, texts, idf)
+        links = written(within(compact(named.join(once, "gid"), n_groups)[0], texts, idf), "links")
+        large, n_large = compact(named.join(sizes.where(F.col("n") > SMALL).select("gid"), "gid"), n_groups)
+        team, pairs, n_pairs = clusters(large, n_large, level, texts, idf) if n_large else (None, None, 0)
         checked = None
+        if n_direct:
+            pairs = pairs.unionByName(direct) if pairs else direct
         if pairs:
-            pairs = compact(pairs if pairs is direct or not direct else pairs.unionByName(direct))
+            pairs, _ = compact(pairs, n_pairs + n_direct)
             checked = written(compared(pairs, team, texts, idf), "compared")
             links = links.unionByName(checked.where("linked").select("a", "b"))
-        found = compact(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+        n_links = links.count() + n_found
+        found, n_found = compact(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b"))), n_links), 2 * n_links)
         if not team:
             break
         each = checked.where(F.size("keys") > 0).select(F.col("b").alias("node"), "near", F.explode(F.arrays_zip("keys", "says")).alias("k"))
-        keyed = compact(each.join(found, "node", "left").select(F.xxhash64("k.keys", F.lit(level)).alias("gid"), "node", F.coalesce("label", "node").alias("label"), "near", F.col("k.says").alias("says")))
+        n_keys = checked.agg(F.sum(F.size("keys"))).first()[0] or 0
+        keyed, n_keyed = compact(each.join(found, "node", "left").select(F.xxhash64("k.keys", F.lit(level)).alias("gid"), "node", F.coalesce("label", "node").alias("label"), "near", F.col("k.says").alias("says")), n_keys)
         holds, seeks = (F.count_if(F.col("says") == side).alias(name) for side, name in ((HOLDS, "holds"), (SEEKS, "seeks")))
         kinds = keyed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("says").alias("least"), holds, seeks)
-        kinds = compact(kinds.where(f"x <> y AND (least = {SHINGLE_KEY} OR (holds > 0 AND seeks > 0))"))
-        direct = compact(sided(keyed, kinds.where(F.col("least") != SHINGLE_KEY)))
-        direct = None if direct.isEmpty() else direct
+        kinds, _ = compact(kinds.where(f"x <> y AND (least = {SHINGLE_KEY} OR (holds > 0 AND seeks > 0))"), n_keyed)
+        weighed = kinds.where(F.col("least") != SHINGLE_KEY)
+        n_met = weighed.where(F.least("holds", "seeks") <= FEW).agg(F.sum(F.col("holds") * F.col("seeks"))).first()[0] or 0
+        direct, n_direct = compact(sided(keyed, weighed), n_met)
         open_ = kinds.where((F.col("least") == SHINGLE_KEY) | (F.least("holds", "seeks") > FEW)).select("gid")
-        groups = compact(keyed.join(open_, "gid", "left_semi").select("gid", "node", "near").distinct())
+        groups, n_groups = compact(keyed.join(open_, "gid", "left_semi").select("gid", "node", "near").distinct(), n_keyed)
         level += 1
 
     labelled = rows.select("doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -468,8 +474,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that near-duplicate another: of each class the least (doc_id, digest) stays, once."""
-    found = checkpoint(classes(docs))
-    first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("r")).select("r.*")
+    first = classes(docs).where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("r")).select("r.*")
     names = docs.columns
     keyed = docs.withColumn("__node", F.unhex(F.md5(F.col("text").cast("string"))))
     chosen = first.select(F.col("doc_id").alias("__id"), F.col("node").alias("__kept"))

@@ -172,3 +172,31 @@ def test_components_of_a_chain_and_a_hub(spark, monkeypatch, local):
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_small_tables_in_few_files(spark, monkeypatch):
+    """However many partitions the session deals out, tables between the rounds are checkpointed in as many as their rows need."""
+    rng = random.Random(17)
+    base = words(rng, 150)
+    texts = [" ".join(changed(rng, base, rng.randint(1, 6))) for _ in range(150)] + [" ".join(words(rng, 40)) for _ in range(40)]
+    monkeypatch.setattr(neardup, "SMALL", 16)
+    docs = frame(spark, texts)
+    parts, settings = [], {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def recorded(df, save=neardup.checkpoint):
+        made = save(df)
+        parts.append(made.rdd.getNumPartitions())
+        return made
+
+    monkeypatch.setattr(neardup, "checkpoint", recorded)
+    monkeypatch.setattr(components_of, "checkpoint", recorded)
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == plain_classes(docs)
+    assert len(parts) > 10 and max(parts) <= 3, parts
