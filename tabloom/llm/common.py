@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.session import checkpoint, shared_dir, ship  # noqa: F401  the operators' own names for them
 
+#: What empties a worker's caches, by the code that fills them.
+CACHES: dict[str, Callable[[], object]] = {}
+
+
+def turn(name: str = "") -> None:
+    """At the start of a worker's task: the caches of all other code are emptied, else they stay beside what the task needs."""
+    for other, clear in CACHES.items():
+        if other != name:
+            clear()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)

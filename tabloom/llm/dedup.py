@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import hashing
-from tabloom.llm.common import written
+from tabloom.llm.common import turn, written
 from tabloom.llm.suffixes import suffix_array
 
 LENGTH = 100
@@ -134,6 +134,7 @@ def find_runs(rows: DataFrame) -> DataFrame:
     """RUN rows of all texts, copies within a task already removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         held: list[tuple[np.ndarray, ...]] = []
         total = 0
         items = ((d, t.encode(), s) for b in batches for d, s, t in zip(*(c.to_pylist() for c in b.columns)) if len(t) * 4 >= LENGTH)
@@ -332,6 +333,7 @@ def sort_blocks(found: DataFrame, hot: int) -> DataFrame:
             yield held, not over
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         block, size, gone = [], 0, []
         for group, whole in groups(batches):
             if not whole:

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import CACHES, turn
+
 MARK = "▁"
 #: Words of more letters are summed by logarithms.
 PLAIN = 24
@@ -287,10 +289,12 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
 
 
 _scorers: dict = {}
+CACHES["language"] = _scorers.clear
 
 
 def _scorer(shared) -> Model:
-    """The worker's model for a broadcast; its cache outlives a task."""
+    """The worker's model for a broadcast; its cache outlives a task, until other code has its turn."""
+    turn("language")
     path, languages, probability = shared.value
     token = (path, tuple(languages), hash(probability.tobytes()))
     if token not in _scorers:

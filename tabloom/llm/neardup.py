@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import hashing
-from tabloom.llm.common import bucketed, checkpoint, written
+from tabloom.llm.common import bucketed, checkpoint, turn, written
 from tabloom.llm.components import PART, components
 
 SIMILARITY = 0.8
@@ -129,6 +129,7 @@ def _bytes(text: str) -> bytes:
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Groups of (key, bytes of the lower-cased text) of batches with a key and a text."""
+    turn()
     return hashing.groups((k, _bytes(t)) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
 
@@ -280,6 +281,7 @@ def within(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple]]]:
         """Whole groups, some at a time."""
+        turn()
         done, last, size = [], None, 0
         for batch in batches:
             for gid, *rest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -351,6 +353,7 @@ def compared(pairs: DataFrame, team: DataFrame | None, texts: DataFrame, idf: np
     dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         weights = shared.value.astype(np.float64)
         hub = team = None
         for batch in batches:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import bpe
+from tabloom.llm.common import turn
 
 CAPACITY = 1024
 BLOCK_TOKENS = 1 << 22
@@ -78,6 +79,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     """One row a piece (SCHEMA; with ``keep_ids`` also its ids as ``ids array<int>``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe")
         words = bpe.rank_words(path, 4)
         end = words.special(end_id)
         sequence = TaskContext.get().partitionId() << SPLIT_BITS

@@ -2,15 +2,17 @@
 
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from test_dedup import plain as plain_removals
 from test_neardup import plain_classes
 from test_text_operators import slow_measures
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tabloom.llm import bpe, language
+from tabloom.llm import bpe, language, neardup
 from tabloom.llm.common import table
 
 
@@ -89,3 +91,13 @@ def test_edges(spark, sf_dir):
     assert rows and len({r.doc_id for r in rows}) == len(rows) and all(r.doc_id < 60 for r in rows)
     assert all(r[c] == f"x{r.doc_id}" for r in rows for c in names)
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, left, sf_dir).collect()} == {r.doc_id for r in rows}
+
+
+def test_caches_take_turns():
+    """A worker that goes on to the next stage doesn't keep the language stage's words."""
+    shared = SimpleNamespace(value=(bpe.vocabulary_path("piece_bpe_32k.model"), ["a", "b"], np.ones((32_001, 2), np.float32)))
+    scorer = language._scorer(shared)
+    assert language._scorer(shared) is scorer
+    batches = iter([pa.RecordBatch.from_arrays([pa.array(["k"]), pa.array(["some words of a text"])], ["node", "text"])])
+    assert len(list(neardup._grouped(batches))) == 1
+    assert not language._scorers
